@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows taken from an Arrow batch at a time, and the text bytes that end such a slice earlier.
-SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
@@ -29,6 +33,58 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch between Spark and its Python workers: documents may be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system: idle workers stay for a while."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """`run` over Arrow batches, its memory given back when the task ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return inner
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for a function of a group's table."""
+
+    def inner(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return inner
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per context: they need no copy of their own; and
+    keep the batches that these get small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    sc = spark.sparkContext
+    if getattr(sc, "_perkline_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="perkline-")) / "perkline-llm.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("perkline/__init__.py", "")
+        for f in sorted(Path(__file__).parent.glob("*.py")):
+            z.write(f, str(f.relative_to(top)))
+    sc.addPyFile(str(path))
+    sc._perkline_shipped = True
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared scratch folder and return a frame over the files: lineage ends here,
     so a lost executor costs a re-read and not a re-run of what came before."""
@@ -46,6 +102,24 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or that with underscores behind it, so that it clashes with no column of `df`."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Rows up to which a table of ids (and little else) may be broadcast: about 10 MB.
+SMALL_ROWS = 300_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """`df`, stashed, and marked for broadcast if it was counted to have at most `rows` rows; else joined by shuffle."""
+    kept = stash(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def drop_stash(df: DataFrame) -> None:
     """Delete a stashed table that nothing lazy reads any more."""
     path = getattr(df, "_scratch", None)
@@ -72,18 +146,18 @@ def _drop_all() -> None:
             pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that a slice has few rows and, by column `text`, few bytes (one long row stands alone)."""
     for b in batches:
         if text is None:
-            for i in range(0, b.num_rows, SLICE_ROWS):
-                yield b.slice(i, SLICE_ROWS)
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
             continue
         sizes = np.nan_to_num(np.asarray(pc.binary_length(b.column(text)).to_numpy(zero_copy_only=False), float))
         i = 0
         while i < b.num_rows:
             total, j = 0.0, i
-            while j < b.num_rows and j - i < SLICE_ROWS and (j == i or total + sizes[j] <= SLICE_BYTES):
+            while j < b.num_rows and j - i < rows and (j == i or total + sizes[j] <= SLICE_BYTES):
                 total += sizes[j]
                 j += 1
             yield b.slice(i, j - i)
@@ -93,7 +167,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterat
 class WordHashes(dict):
     """word bytes -> unsigned 64-bit hash, remembered up to a fixed number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -11,15 +11,19 @@ and the sets differ in at most (s + t) / 9 places.
   some part is the same in both sets, so they meet in a list (no pair is lost). Sizes are grouped in levels whose
   bounds grow by 1.25; a set enters the lists of its own level and, if it can have larger partners, of the next; light
   sets near the boundary enter the first level too. A set has P(s) parts.
+* Before that, a count sieves the sets. All shingles whose hash lies below SAMPLE of the hash range are counted over the
+  corpus. A linked set misses at most a fifth of its shingles in its partner, so of its m sampled shingles at least
+  m - size / 5 occur in some other set; sets with fewer shared ones are linked with nothing and leave. Only the rest,
+  mostly near copies, is indexed. The sieve is a bound, not an estimate: it loses no link.
 * The boundary is the largest size for which E(s) <= P(s): cost, counted in index entries, is a sum over sets, so the
   cheaper side for each size is the cheapest in all.
 * Empty parts count for nothing. The slack in K is raised, level by level, until every set of the level has more
   filled parts than it can have differences (checked over all sets; with K = infinity each shingle is a part).
 
 Copies: equal sets form one class; only classes are joined, and lists hold a class once per scan task. Lists of up to
-SHORT members give all their pairs, longer ones link every member to their smallest; after links are verified and
-classes joined in components, a long list whose members lie in several components gives the pairs between these, which
-makes the result exact for any data. Entries travel as packed arrays, one row for each bucket and task.
+SHORT members give all their pairs, longer ones link every member to their smallest. After links are verified and
+classes joined in components, the sets of long lists whose members lie in several components are compared block by
+block within tasks, which makes the result exact for any data without a row for each pair. Entries travel as packed arrays, one row for each bucket and task.
 
 Defined results: null or blank text has no shingles and is linked with nothing (its component is itself); a null
 doc_id has a null component; repeated rows (same id and text) give equal rows; fewer than five words are one shingle;
@@ -37,11 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, mix64, shingle_set, slices, stash
+from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, fresh, lean, lean_group, mix64, shingle_set, slices, small_side, stash
 
 #: Longest list that gives all pairs; entries of a bucket aimed at; entries that a task holds before it sends them.
-SHORT, BUCKET_ENTRIES, HOLD = 8, 2_000_000, 3_000_000
+SHORT, BUCKET_ENTRIES, HOLD = 8, 1_000_000, 1_000_000
+#: Sets of a cell in the comparison of long lists.
+CELL = 400
 FILTER_BITS = 1 << 22
+#: Share of the hash range whose shingles the sieve counts; documents go to this many groups a bucket for their sums.
+SAMPLE = 0.4
+_CUT = np.uint64(int(SAMPLE * 2**64))
 WHOLE = 1 << 32  # K where every shingle is a part of its own
 
 
@@ -164,13 +173,114 @@ def _set_keys(s: np.ndarray) -> tuple[int, int]:
         return int(mix64(s).sum()), int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum())
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
-        keys = np.array([_set_keys(s) for s in sets], np.uint64).view(np.int64)
-        full = [s for s in sets if len(s)]
-        bad = sorted(misfits(full, {})) if full else []
-        notes = [bad] + [[]] * (len(sets) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(notes, pa.list_(pa.int32()))], ["doc_id", "n", "h1", "h2", "bad"])
+def _planes(x: np.ndarray, width: int = 8) -> bytes:
+    """Whole numbers byte by byte, lowest first: high bytes that are alike vanish in compression."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(data: list[bytes], width: int = 8) -> np.ndarray:
+    parts = []
+    for x in data:
+        whole = np.zeros((len(x) // width, 8), np.uint8)
+        whole[:, :width] = np.frombuffer(x, np.uint8).reshape(width, -1).T
+        parts.append(whole.view(np.uint64).ravel())
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _profile(buckets: int):
+    """(doc_id, text) -> rows of (kind, key, blobs): kind 0 profiles, kind 1 sampled shingles with their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def rows(kind, keys, a, b, bad):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int8()), pa.array(keys, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(bad, pa.list_(pa.int32()))], ["kind", "key", "a", "b", "bad"])
+
+        def flush():
+            grams, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            order = np.argsort(grams)
+            grams, ids = grams[order], ids[order]
+            # sampled hashes fill only a share of the range: buckets by their place in it
+            where = ((grams >> np.uint64(32)).astype(np.float64) / (SAMPLE * 2**32) * buckets).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(where)) + 1
+            at = list(zip([0, *cuts], [*cuts, len(grams)], strict=True))
+            return rows(1, [int(where[i]) for i, _ in at], [_planes(grams[i:j] >> np.uint64(16), 6) for i, j in at], [_planes(ids[i:j]) for i, j in at], [[]] * len(at))
+
+        for ids, sets in _sets(batches):
+            keys = np.array([_set_keys(s) for s in sets], np.uint64)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            sampled = [s[: np.searchsorted(s, _CUT)] for s in sets]
+            need_ = np.fromiter(map(len, sampled), np.int64, len(sets)) - sizes // 5
+            full = [s for s in sets if len(s)]
+            packed = np.stack([ids.astype(np.int64), sizes, need_, keys[:, 0].view(np.int64), keys[:, 1].view(np.int64)])
+            yield rows(0, [0], [packed.tobytes()], [b""], [sorted(misfits(full, {})) if full else []])
+            new = [i for i, k in enumerate(map(tuple, keys.tolist())) if len(sampled[i]) and not (k in seen or seen.add(k))]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            if new:
+                held.append((np.concatenate([sampled[i] for i in new]), np.repeat(ids[new].astype(np.uint64), [len(sampled[i]) for i in new])))
+                size += len(held[-1][0])
+            if size > HOLD:
+                yield flush()
+                held.clear()
+                size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed profiles -> rows; the bad levels go with the first document of a pack."""
+    for b in batches:
+        for a, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            m = np.frombuffer(a, np.int64).reshape(5, -1)
+            notes = pa.array([bad] + [[]] * (m.shape[1] - 1), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in m), notes], ["doc_id", "n", "need", "h1", "h2", "bad"])
+
+
+def _shared(groups: int):
+    """The entries of a bucket -> for each group of documents, how many shared shingles each has here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        grams, ids = _unplanes(table.column("a").to_pylist(), 6), _unplanes(table.column("b").to_pylist())
+        order = np.argsort(grams)
+        grams, ids = grams[order], ids[order]
+        same = grams[1:] == grams[:-1]
+        often = np.zeros(len(grams), bool)
+        often[1:] |= same
+        often[:-1] |= same
+        who, n = np.unique(ids[often], return_counts=True)
+        key = (mix64(who) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        slots = np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []
+        parts = [(int(key[x[0]]), _planes(who[x]), n[x].astype(np.int32).tobytes()) for x in slots]
+        return pa.table({"key": pa.array([p[0] for p in parts], pa.int32()), "ids": pa.array([p[1] for p in parts], pa.binary()), "counts": pa.array([p[2] for p in parts], pa.binary())})
+
+    return run
+
+
+def _reduced(groups: int):
+    """Profiles pass; entries of a bucket become shared counts (see _shared)."""
+    count = _shared(groups)
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == 0:
+            return table
+        out = count(table)
+        n = out.num_rows
+        return pa.table({"kind": pa.array([1] * n, pa.int8()), "key": out.column("key"), "a": out.column("ids"), "b": out.column("counts"), "bad": pa.array([[]] * n, pa.list_(pa.int32()))})
+
+    return run
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    ids = _unplanes(table.column("ids").to_pylist())
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()])
+    who, inv = np.unique(ids, return_inverse=True)
+    return pa.table({"doc_id": pa.array(who.view(np.int64)), "shared": pa.array(np.bincount(inv, counts, len(who)).astype(np.int64))})
 
 
 def _recheck(choice: dict[int, int], levels: set[int]):
@@ -185,7 +295,7 @@ def _recheck(choice: dict[int, int], levels: set[int]):
     return run
 
 
-def _index(choice: dict[int, int], buckets: int):
+def _index(choice: dict[int, int], buckets: int, bits):
     shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +310,10 @@ def _index(choice: dict[int, int], buckets: int):
             where = (sig >> shift).astype(np.int64) if shift is not None else np.zeros(len(sig), np.int64)
             cuts = np.flatnonzero(np.diff(where)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(sig)]])
-            # ids byte by byte: their high bytes are alike and vanish in compression
-            planes = [np.ascontiguousarray(ids[i:j].view(np.uint8).reshape(-1, 8).T).tobytes() for i, j in zip(starts, ends, strict=True)]
+            planes = [_planes(ids[i:j]) for i, j in zip(starts, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(where[starts].astype(np.int32)), pa.array([sig[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()), pa.array(planes, pa.binary())], ["bucket", "sigs", "ids"])
 
-        for ids, sets in _sets(batches):
+        for ids, sets in _sets(batches, _wanted(bits.value)):
             new = []
             for i, s in enumerate(sets):
                 if len(s):
@@ -267,7 +376,7 @@ def scan_lists(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _scan(table: pa.Table) -> pa.Table:
     sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("sigs").to_pylist()])
-    ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in table.column("ids").to_pylist()])
+    ids = _unplanes(table.column("ids").to_pylist()).view(np.int64)
     a, b, run, member = scan_lists(sig, ids)
     kind = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(run), np.int8)])
     return pa.table({"kind": pa.array(kind), "x": pa.array(np.concatenate([a, run])), "y": pa.array(np.concatenate([b, member]))})
@@ -312,22 +421,107 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(hit))
 
 
-def verify(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) of doc_ids whose sets link, the sets as a stashed table); rows: (doc_id, text). Sets are built again for the documents that
-    occur in pairs: a bit filter of fixed size picks them in the scan, so texts are not shuffled."""
-    spark = rows.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    words = ids.mapInArrow(_filter_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+def _filter_of(ids: DataFrame):
+    """A broadcast bit filter of fixed size (FILTER_BITS) over a column of ids; it may let others through."""
+    words = ids.mapInArrow(lean(_filter_words), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    sets = rows.mapInArrow(_set_rows(spark.sparkContext.broadcast(bits.view(np.uint8))), "id long, shingles binary").join(ids, "id", "left_semi")
-    sets = stash(sets.dropDuplicates(["id"]))
+    return ids.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def verify(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets link; rows: (doc_id, text). Sets are built again for the documents that
+    occur in pairs: a bit filter picks them in the scan, so texts are not shuffled."""
+    bits = _filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = stash(rows.mapInArrow(lean(_set_rows(bits)), "id long, shingles binary"))
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    return stash(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long")), sets
+    out = stash(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(lean(_overlaps), "a long, b long").distinct())
+    drop_stash(sets)
+    return out
+
+
+def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Linked pairs (smaller id first) of one set in `left` and one in `right` (bool masks), by a prefix filter: as many
+    as it takes to connect what links, given that sets of one component are connected already. So a group of near
+    copies gives fewer pairs than it has members.
+
+    Shingles are ordered by how many of these sets hold them: a set's rarest fifth, and one more, must hold one that a
+    partner has. Shingles of one set alone can't do that, so texts that only share common passages do not meet."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, token, n = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, n[token], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    lead = place < np.repeat(sizes - -(-4 * sizes // 5) + 1, sizes)
+    token, owner = token[order][lead], owner[order][lead]
+    several = n[token] > 1
+    token, owner = token[several], owner[several]
+    by = np.lexsort((owner, token))
+    token, owner = token[by], owner[by]
+    starts = np.searchsorted(token, token)
+    out, told = [], np.zeros(len(sets), np.int64)
+    parent = np.unique(comps, return_index=True)[1][np.unique(comps, return_inverse=True)[1]].tolist()
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    back = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[back], np.arange(len(sets) + 1))
+    for i in range(len(sets)):
+        told[:] = 0
+        for at in back[cuts[i] : cuts[i + 1]]:
+            told[owner[starts[at] : at]] = 1
+        for j in np.flatnonzero(told):
+            s, t = sorted((sizes[i], sizes[j]))
+            if 100 * s >= 80 * t and (left[i] and right[j] or left[j] and right[i]) and root(i) != root(j):
+                x, y = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= 80 * (s + t - both):
+                    parent[root(i)] = root(int(j))
+                    out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return out
+
+
+def _block(table: pa.Table) -> pa.Table:
+    ids = table.column("rep").to_numpy()
+    ids, first = np.unique(ids, return_index=True)
+    table = table.take(pa.array(first))
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    low, high = table.column("low").to_numpy(zero_copy_only=False), table.column("high").to_numpy(zero_copy_only=False)
+    links = block_links(ids, table.column("comp").to_numpy(), sets, low, high) if len(sets) > 1 else []
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+
+def family_links(rows: DataFrame, apart: DataFrame) -> DataFrame:
+    """Links among the sets of each family, the sets that long lists hold together; apart: (first, rep, n, comp), one row
+    for each list and member, `first` being the list's smallest member; enough links to connect what is linked.
+
+    Families are cut by size classes and, within these, by a hash, into cells of about CELL sets; each pair of cells
+    whose sizes can link is one task, which joins the two in memory and gives only the links."""
+    family = components(apart.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.26)))  # sizes within 1.25: same or next class
+    members = apart.select("rep", "n", "comp").distinct().join(family, F.col("rep") == F.col("node"), "left").select("rep", "comp", F.coalesce("component", "rep").alias("fam"), size_class.alias("cls"))
+    cells = members.groupBy("fam", "cls").agg(F.ceil(F.count("*") / CELL).alias("salts"))
+    own = members.join(cells, ["fam", "cls"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    meets = own.withColumn("other", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    meets = meets.join(cells.toDF("fam", "other", "o_salts"), ["fam", "other"]).withColumn("o_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_salts") - 1)))
+    me_low = (F.col("cls") < F.col("other")) | ((F.col("cls") == F.col("other")) & (F.col("salt") <= F.col("o_salt")))
+    me_high = (F.col("cls") > F.col("other")) | ((F.col("cls") == F.col("other")) & (F.col("salt") >= F.col("o_salt")))
+    pick = lambda a, b: F.when(me_low, F.col(a)).otherwise(F.col(b))
+    work = meets.select("fam", pick("cls", "other").alias("c1"), pick("salt", "o_salt").alias("s1"), pick("other", "cls").alias("c2"), pick("o_salt", "salt").alias("s2"), "rep", "comp", me_low.alias("low"), me_high.alias("high"))
+    sets = stash(rows.mapInArrow(lean(_set_rows(_filter_of(members.select("rep").distinct()))), "id long, shingles binary"))
+    work = work.join(sets.withColumnRenamed("id", "rep"), "rep")
+    out = stash(work.groupBy("fam", "c1", "s1", "c2", "s2").applyInArrow(lean_group(_block), "a long, b long").distinct())
+    drop_stash(sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of `edges` (a, b): the smallest node reachable. Alternating large and small
+    """(node, component) for the nodes of `edges` (a, b) but the smallest of each component: the smallest node reachable.
+    Alternating large and small
     stars; each round is a few joins over the edges, written down, until nothing changes."""
     edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
@@ -360,41 +554,46 @@ def join_ngrams(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
-    profile = stash(known.mapInArrow(_profile, "doc_id long, n long, h1 long, h2 long, bad array<int>"))
     lost = docs.where(F.col(doc).isNull()).select(F.col(text).cast("string").alias("text"))
+    # about 200 sampled shingles a document
+    buckets = 1 << max(6, (known.count() * 200 // BUCKET_ENTRIES).bit_length())
+    told = known.mapInArrow(lean(_profile(buckets)), "kind byte, key int, a binary, b binary, bad array<int>")
+    # one pass gives both: profiles are spread by their place, entries by their bucket
+    spread = F.when(F.col("kind") == 0, -1 - F.pmod(F.hash("a"), F.lit(buckets))).otherwise(F.col("key"))
+    counted = stash(told.withColumn("key", spread).groupBy("key").applyInArrow(lean_group(_reduced(buckets)), "kind byte, key int, a binary, b binary, bad array<int>"))
+    profile = stash(counted.where("kind = 0").select("a", "bad").mapInArrow(lean(_unpack), "doc_id long, n long, need long, h1 long, h2 long, bad array<int>"))
+    sums = counted.where("kind = 1").select("key", F.col("a").alias("ids"), F.col("b").alias("counts")).groupBy("key").applyInArrow(lean_group(_sums), "doc_id long, shared long")
+    rest = stash(profile.where("n > 0").join(sums, "doc_id", "left").where("need <= coalesce(shared, 0)").select(F.col("doc_id").alias("id")))
+    drop_stash(counted)
+    free_shuffles(spark)
     bad = {r[0] for r in profile.select(F.explode("bad")).distinct().collect()}  # levels: a few dozen at most
     choice: dict[int, int] = {}
     while bad:
         choice |= {n: choice.get(n, 0) + 1 for n in bad}
         open_ = {n for n in bad if choice[n] < len(ladder(1)) - 1}
-        bad = {r[0] for r in known.mapInArrow(_recheck(choice, open_), "level int").distinct().collect()} if open_ else set()
+        bad = {r[0] for r in known.mapInArrow(lean(_recheck(choice, open_)), "level int").distinct().collect()} if open_ else set()
     reps = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     classes = stash(profile.where("n > 0").drop("bad").join(reps, ["h1", "h2", "n"]).select("doc_id", "n", "rep"))
-    entries = profile.agg(F.sum("n")).first()[0] or 0
+    entries = profile.join(rest, F.col("doc_id") == F.col("id"), "left_semi").agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(6, (int(0.65 * entries / BUCKET_ENTRIES)).bit_length())
-    lists = known.mapInArrow(_index(choice, buckets), "bucket int, sigs binary, ids binary")
-    found = stash(lists.groupBy("bucket").applyInArrow(_scan, "kind byte, x long, y long"))
+    lists = known.mapInArrow(lean(_index(choice, buckets, _filter_of(rest))), "bucket int, sigs binary, ids binary")
+    found = stash(lists.groupBy("bucket").applyInArrow(lean_group(_scan), "kind byte, x long, y long"))
     free_shuffles(spark)
     pairs = stash(_by_class(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), classes))
-    links, sets = verify(known, pairs)
-    drop_stash(sets)
+    links = verify(known, pairs)
     comps = components(links)
-    # long lists: pairs between members that are still apart
+    # long lists whose members are still apart
     runs = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc_id"))
     runs = runs.join(classes, "doc_id").select("run", "rep", "n").distinct().join(comps, F.col("rep") == F.col("node"), "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    apart = runs.join(runs.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("run"), "run")
-    apart = stash(apart)
+    mixed = runs.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).where("lo != hi").select("run", "first")
+    apart = stash(runs.join(mixed, "run").select("first", "rep", "n", "comp").distinct())
     if not apart.isEmpty():
-        other = apart.toDF("run", "rep2", "n2", "comp2")
-        more = apart.join(other, "run").where("rep < rep2 and comp != comp2 and 100 * least(n, n2) >= 80 * greatest(n, n2)").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-        more = stash(more.join(pairs, ["a", "b"], "left_anti"))
-        late, sets = verify(known, more)
-        drop_stash(sets)
+        late = family_links(known, apart)
         if not late.isEmpty():
             comps = components(links.unionByName(late))
     out = profile.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", "n").join(reps, ["h1", "h2", "n"], "left").withColumn("class_id", F.coalesce("rep", "doc_id"))
     out = out.join(comps, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
-    return out.unionByName(lost.mapInArrow(_lost, "doc_id long, n_shingles long, component_id long, class_id long"))
+    return out.unionByName(lost.mapInArrow(lean(_lost), "doc_id long, n_shingles long, component_id long, class_id long"))
 
 
 def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,5 +606,6 @@ def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without the documents that are linked to one with a smaller id; rows that repeat an id stay together."""
-    rest = join_ngrams(docs, doc, text).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rest, docs[doc].cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh(docs, "_gone")
+    rest = small_side(join_ngrams(docs, doc, text).where("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(rest, docs[doc].cast("long") == rest[gone], "left_anti")
