@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkline.llm.common import stash
+from perkline.llm.common import fresh, ship, small_side, stash
 from perkline.llm.language_id import document_fields, fit_text_model, identify
 from perkline.llm.mixing import mixed_documents
 from perkline.llm.ngram_join import keep_one
@@ -14,18 +14,22 @@ from perkline.llm.secret_scan import redact_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language explains go; rows without an id stay if their text does not repeat a rejected id."""
-    told = identify(document_fields(docs), fit_text_model(docs)).where("rejected").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(told, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Documents that no language explains go."""
+    ship(spark)
+    gone = fresh(docs, "_gone")
+    told = small_side(identify(document_fields(docs), fit_text_model(docs)).where("rejected").select(F.col("id").alias(gone)).distinct())
+    return docs.join(told, docs["doc_id"] == told[gone], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays: that with the smallest id."""
+    ship(spark)
     return keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are blanked; every document stays."""
+    ship(spark)
     return redact_secrets(docs)
 
 
@@ -36,6 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each text of the mix."""
+    ship(spark)
     return encode_pieces(docs, verify_every=8)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import sha, slices
+from perkline.llm.common import lean, sha, slices
 
 BUCKETS, LENGTH_MOST, PIECE = 256, 16, 1 << 20
 #: Ranges of doc_id for each shuffle partition.
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([fingerprint(t) for t in texts], pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_chars long, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -150,4 +150,4 @@ def edit_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     places = F.filter(F.array(F.struct(F.col("rng").alias("rng"), F.lit(False).alias("guest")), F.struct(F.col("guest_rng").alias("rng"), F.lit(True).alias("guest"))), lambda x: x["rng"].isNotNull())
     dealt = dealt.select(F.explode(places).alias("p"), "key", "doc_id", "text").select("p.rng", "p.guest", "key", "doc_id", "text")
     ordered = dealt.repartition(parts, "rng").sortWithinPartitions("rng", "guest", F.col("key").desc(), F.col("text").asc_nulls_first())
-    return ordered.select("rng", "guest", "doc_id", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("rng", "guest", "doc_id", "text").mapInArrow(lean(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import slices, stash
+from perkline.llm.common import lean, slices, stash
 
 BINS, SAMPLE, TEMPER, STRENGTH, PIECE = 1 << 15, 4000, 400, 20.0, 1 << 20
 #: Prior odds of `und`, and how much worse than even a language may fit before it loses to `und` (nats a trigram).
@@ -73,7 +73,6 @@ class TextModel:
 
 def fit_text_model(labelled: DataFrame, sample: int = SAMPLE, doc: str = "doc_id", lang: str = "lang", text: str = "text") -> TextModel:
     """Fits on about `sample` rows (all, if there are fewer), whole texts."""
-    spark = labelled.sparkSession
     known = labelled.where(F.col(lang).isNotNull() & F.col(doc).isNotNull())
     n = known.count()
     if n > sample:
@@ -89,12 +88,11 @@ def fit_text_model(labelled: DataFrame, sample: int = SAMPLE, doc: str = "doc_id
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([code] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bin", "n"])
 
-    counted = known.select(F.lower(F.substring(F.col(lang).cast("string"), 1, 2)).alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, "lang string, bin int, n long")
+    counted = known.select(F.lower(F.substring(F.col(lang).cast("string"), 1, 2)).alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "lang string, bin int, n long")
     got = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS rows a language
     langs = sorted(got["lang"].unique())
     counts = np.zeros((len(langs), BINS))
     counts[got["lang"].map({c: i for i, c in enumerate(langs)}).to_numpy(int), got["bin"].to_numpy(int)] = got["n"].to_numpy(float)
-    del spark
     return TextModel(langs, counts)
 
 
@@ -135,7 +133,7 @@ def identify(fields: DataFrame, model: TextModel) -> DataFrame:
     kinds = range(len(langs))
     code = F.when(F.rlike("declared", F.lit("^[a-z]{2}$")), F.col("declared")).otherwise("")
     cols = fields.select("text", "markup", "id", "markup", code.alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix")).toDF("text", "m", "id", "markup", "declared", "host", "suffix")
-    told = stash(cols.mapInArrow(_evidence(data), "id long, markup boolean, declared string, host string, suffix string, any_text boolean, ll array<double>"))
+    told = stash(cols.mapInArrow(lean(_evidence(data)), "id long, markup boolean, declared string, host string, suffix string, any_text boolean, ll array<double>"))
     soft = lambda i: F.when(F.col("any_text"), F.exp(F.col("ll")[i]) / sum(F.exp(F.col("ll")[j]) for j in kinds)).otherwise(0.0)
     votes = told.select("declared", "host", "suffix", *[soft(i).alias(f"v{i}") for i in kinds])
     sums = [F.sum(f"v{i}").alias(f"v{i}") for i in kinds]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, gram_hashes, slices, stash
+from perkline.llm.common import WordHashes, gram_hashes, lean, slices, stash
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Phrases and their labels.
@@ -97,7 +97,7 @@ def license_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", phra
         bits[k] = np.zeros(1 << FILTER_BITS, bool)
         bits[k][[g[3] & ((1 << FILTER_BITS) - 1) for g in grams if g[2] == exact]] = True
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stash(rows.mapInArrow(_rolling(bits), "doc_id long, n_words long, hits array<struct<gram:long,at:long>>").withColumn("row", F.monotonically_increasing_id()))
+    rows = stash(rows.mapInArrow(lean(_rolling(bits)), "doc_id long, n_words long, hits array<struct<gram:long,at:long>>").withColumn("row", F.monotonically_increasing_id()))
     templates = spark.createDataFrame(grams, "template int, label string, exact boolean, gram long, place int, grams int")
     # the templates are the fixed texts above, a few hundred rows
     votes = rows.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(F.broadcast(templates), "gram")

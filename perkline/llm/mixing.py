@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perkline.llm.common import stash
+from perkline.llm.common import fresh, stash
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Ranges of the shuffle order: three hex digits.
@@ -84,17 +84,18 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     once more, cut to the words served, where the budget ends within it; ordered by virtual finish time through a
     range partitioning. `n_chars` follows the text where there is such a column."""
     text, doc = how.get("text", "text"), how.get("doc", "doc_id")
+    key, size, served, part, at = (fresh(docs, n) for n in ("_key", "_size", "_served", "_part", "_at"))
     plan = mix(docs, **how).where(F.col("taken") > 0)
-    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"), F.min("finish").alias("_finish"))
-    both = docs.join(plan, docs[doc].eqNullSafe(F.col("_id")))
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    plan = plan.groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias(size), F.max("taken").alias(served), F.min("finish").alias(at))
+    both = docs.join(plan, docs[doc].eqNullSafe(plan[key]))
+    whole, rest = F.floor(F.col(served) / F.col(size)).cast("int"), (F.col(served) % F.col(size)).cast("int")
     # pieces of one word and the space behind it; the first may be leading space alone
     pieces = F.split(F.col(text), rf"(?<={SPACE})(?=[^\x20\x09-\x0D])")
     leads = F.when(F.ascii(text).isin(32, 9, 10, 11, 12, 13), 1).otherwise(0)
     cut = F.array_join(F.slice(pieces, F.lit(1), rest + leads), "")
-    parts = F.filter(F.sequence(F.lit(0), whole), lambda i: (i < whole) | (rest > 0))
-    both = both.withColumn("_part", F.explode(parts)).withColumn("_at", F.col("_finish") + F.col("_part"))
-    both = both.withColumn(text, F.when(F.col("_part") < whole, F.col(text)).otherwise(cut))
+    times = F.filter(F.sequence(F.lit(0), whole), lambda i: (i < whole) | (rest > 0))
+    both = both.withColumn(part, F.explode(times)).withColumn(at, F.col(at) + F.col(part))
+    both = both.withColumn(text, F.when(F.col(part) < whole, F.col(text)).otherwise(cut))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length(text).cast("long"))
-    return both.repartitionByRange("_at").sortWithinPartitions("_at").select(*docs.columns)
+    return both.repartitionByRange(at).sortWithinPartitions(at).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkline.llm.common import slices
+from perkline.llm.common import lean, slices
 
 MARK = "▁"
 # Piece types and model types of the protobuf.
@@ -112,9 +112,9 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class PieceCodec:
-    """Encodes and decodes texts with one model; keeps the ids of up to REMEMBERED words."""
+    """Encodes and decodes texts with one model; keeps the ids of up to REMEMBERED words, sends BATCH at a time."""
 
-    REMEMBERED = 400_000
+    REMEMBERED, BATCH = 120_000, 4096
 
     def __init__(self, data: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -132,8 +132,10 @@ class PieceCodec:
             self.known.clear()
         known = self.known
         new = list({w for words in cut for w in words} - known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.int32).tobytes()
+        for i in range(0, len(new), self.BATCH):
+            part = new[i : i + self.BATCH]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, np.int32).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -166,7 +168,7 @@ def _coded(data, verify_every: int, keep: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data.value)
-        for b in slices(batches, text=1):
+        for b in slices(batches, text=1, rows=128):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             coded = c.encode(texts)
             back = [c.decode(x) for x in coded]
@@ -192,7 +194,7 @@ def encode_pieces(docs: DataFrame, model: str = DEFAULT_MODEL, verify_every: int
     spark = docs.sparkSession
     data = spark.sparkContext.broadcast(read_model(spark, model))
     schema = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean" + ", pieces array<int>" * keep_ids
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_coded(data, verify_every, keep_ids), schema)
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_coded(data, verify_every, keep_ids)), schema)
 
 
 def decode_pieces(coded: DataFrame, model: str = DEFAULT_MODEL, doc: str = "doc_id", pieces: str = "pieces") -> DataFrame:
@@ -205,4 +207,4 @@ def decode_pieces(coded: DataFrame, model: str = DEFAULT_MODEL, doc: str = "doc_
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(np.array(x or [], np.int32)) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return coded.select(F.col(doc).cast("long").alias("doc_id"), F.col(pieces).cast("array<int>").alias("pieces")).mapInArrow(run, "doc_id long, text string")
+    return coded.select(F.col(doc).cast("long").alias("doc_id"), F.col(pieces).cast("array<int>").alias("pieces")).mapInArrow(lean(run), "doc_id long, text string")

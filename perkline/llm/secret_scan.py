@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import slices, stash
+from perkline.llm.common import fresh, lean, slices, small_side, stash
 
 # Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -111,7 +111,7 @@ def scan_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner
     own = F.coalesce(F.col(owner).cast("string"), F.lit(""))
     rep = F.coalesce(F.col(repo if repo else doc).cast("string"), F.lit(""))
     scanned = docs.select(F.col(doc).cast("long").alias("doc_id"), rep.alias("repo"), own.alias("owner"), F.col(text).cast("string").alias("text"))
-    scanned = stash(scanned.mapInArrow(_scan, f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{SPAN}>").withColumn("row", F.monotonically_increasing_id()))
+    scanned = stash(scanned.mapInArrow(lean(_scan), f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{SPAN}>").withColumn("row", F.monotonically_increasing_id()))
     held = scanned.select("row", "owner", "repo", F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
     seen = held.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     owners = seen.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
@@ -127,15 +127,13 @@ def scan_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner
 
 
 def _redact(text: int, mark: str):
-    """Replaces the spans in column 'spans_' (start, end pairs) of each row's text; column `text` is the text's place."""
+    """Replaces the spans in the last column (start, end pairs) of each row's text; column `text` is the text's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text=text):
-            names = b.schema.names
-            cols = dict(zip(names, b.columns, strict=True))
-            spans = cols.pop("spans_").to_pylist()
+            *cols, cuts = b.columns
             out = []
-            for t, s in zip(cols[names[text]].to_pylist(), spans, strict=True):
+            for t, s in zip(cols[text].to_pylist(), cuts.to_pylist(), strict=True):
                 if t and s:
                     parts, at = [], 0
                     for x in sorted((x["start"], x["end"]) for x in s):
@@ -144,8 +142,8 @@ def _redact(text: int, mark: str):
                         at = max(at, x[1])
                     t = "".join(parts) + t[at:]
                 out.append(t)
-            cols[names[text]] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            cols[text] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
     return run
 
@@ -153,8 +151,10 @@ def _redact(text: int, mark: str):
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """`docs` with every span that is live, or of a fixed kind, replaced by `mark`; all rows and columns stay, and
     `n_chars` follows the text where there is such a column. Rows that share a doc_id should share their text."""
+    key, cuts = fresh(docs, "_key"), fresh(docs, "_cuts")
     found = scan_secrets(docs, doc=doc, text=text, **how).where(F.size("found") > 0)
-    found = found.groupBy(F.col("doc_id").alias("id_")).agg(F.first(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).alias("spans_"))
-    both = docs.join(found, docs[doc].cast("long") == F.col("id_"), "left").drop("id_")
-    out = both.mapInArrow(_redact(docs.columns.index(text), mark), docs.schema)
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.first(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).alias(cuts))
+    found = small_side(found, 50_000)
+    both = docs.join(found, docs[doc].cast("long") == found[key], "left").select(*[docs[c] for c in docs.columns], found[cuts])
+    out = both.mapInArrow(lean(_redact(docs.columns.index(text), mark)), docs.schema)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
