@@ -1,12 +1,12 @@
 """Language-model scoring by prediction by partial matching (PPM), with a unigram base score beside it.
 
-The model is a byte-context trie of depth ORDER = 3, learned from the training documents of the whole table: one
-scan counts all four-byte events and all words, and both counts are reduced by Spark. A node of depth 3 is kept if its
-context makes up at least FLOOR of all events, so at most 1 / FLOOR contexts exist at any size of the corpus; rarer
-ones are scored from depth 2. Lower depths count a symbol once for each longer context it followed (update exclusion).
+The model is a byte-context trie of depth ORDER = 4, learned from the training documents of the whole table: one
+scan counts all five-byte events and all words, and both counts are reduced by Spark. A node of depth 3 or 4 is kept if
+its context makes up at least FLOOR of all events, so each depth has at most 1 / FLOOR nodes at any size of the corpus;
+texts in rarer contexts are scored from the deepest node there is. Lower depths count a symbol once for each longer context it followed (update exclusion).
 Escapes are estimated by method D (each symbol first seen in a context gives half an event to the escape); below a
 context, its symbols are excluded from the shorter ones (symbol exclusion); the last resort is uniform over the rest.
-The probabilities of all 256 symbols in each kept context are laid out in one table, so scoring is two look-ups a byte.
+The probabilities of all 256 symbols in each kept context are laid out in one table, so scoring is a walk down the trie and one look-up a byte.
 Each text is coded from a start context to an end mark (byte 255, which UTF-8 never has).
 
 Base score: c, N and V over the training tokens. Words that make up FREQUENT of all tokens or more (so at most
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, slices, stash
+from perkline.llm.common import WordHashes, ascii_words, free_shuffles, lean, slices, stash
 
-ORDER, FLOOR, FREQUENT = 3, 2.0**-16, 2.0**-18
+ORDER, FLOOR, FREQUENT = 4, 2.0**-16, 2.0**-18
 FOLDS, HELD = 7, 2
 PAD, END = b"\xff" * ORDER, b"\xff"
 #: The end of a text as a word: no word holds a space.
@@ -44,11 +44,11 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _events(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(four-byte codes of all events, starts and ends of each text among them); the codes between texts are no events."""
+    """(five-byte codes of all events, starts and ends of each text among them); the codes between texts are no events."""
     a = np.frombuffer(b"".join([PAD + t + END for t in texts]), np.uint8)
-    code = a[:-3].astype(np.uint32)
-    for i in (1, 2, 3):
-        code = code << np.uint32(8) | a[i : len(a) - 3 + i]
+    code = a[:-ORDER].astype(np.uint64)
+    for i in range(1, ORDER + 1):
+        code = code << np.uint64(8) | a[i : len(a) - ORDER + i]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]])
     return code, starts, starts + sizes
@@ -113,52 +113,69 @@ def context_table(levels: list[np.ndarray]) -> np.ndarray:
     return p + np.where(seen, 0, weight / np.maximum(rest, 1))
 
 
+def _dense(codes: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Counts (contexts x 256) of the symbols behind each context; codes are sorted."""
+    out = np.zeros((len(contexts), 256))
+    at = np.searchsorted(contexts, codes >> 8)
+    at = np.minimum(at, max(len(contexts) - 1, 0))
+    if len(contexts):
+        hit = contexts[at] == codes >> 8
+        out[at[hit], codes[hit] & 255] = n[hit]
+    return out
+
+
+def _rows(codes: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """As _dense, for contexts that may repeat, in any order."""
+    some, inv = np.unique(contexts, return_inverse=True)
+    return _dense(codes, n, some)[inv]
+
+
 class PpmModel:
-    """ids: where a 3-byte context's row is; logs: log10 probabilities, flat (rows x 256)."""
-
-    def __init__(self, deep: np.ndarray, deep_n: np.ndarray, tri: np.ndarray, tri_n: np.ndarray):
-        """deep: four-byte codes of kept contexts with counts; tri: all three-byte codes with counts."""
-        dense = lambda codes, n, ctx: np.stack([np.bincount(codes[lo:hi] & np.uint32(255), n[lo:hi], 256) for lo, hi in zip(np.searchsorted(codes >> np.uint32(8), ctx), np.searchsorted(codes >> np.uint32(8), ctx, "right"), strict=True)]) if len(ctx) else np.zeros((0, 256))
-        order = np.argsort(tri)
-        tri, tri_n = tri[order].astype(np.uint32), tri_n[order]
-        order = np.argsort(deep)
-        deep, deep_n = deep[order].astype(np.uint32), deep_n[order]
-        bi, inv = np.unique(tri & np.uint32(0xFFFF), return_inverse=True)
+    """The kept nodes' tables. Rows: 256 contexts of one byte, then those of two, three and four bytes.
+
+    top: row of each pair of bytes; child: row of a context with one more byte in front, or -1; logs: log10
+    probabilities (rows x 256)."""
+
+    def __init__(self, four: tuple, three: tuple, two: tuple):
+        """(codes, counts) of events behind kept contexts of four and three bytes and behind all of two bytes."""
+        (c5, n5), (c4, n4), (c3, n3) = ((c[o].astype(np.int64), n[o].astype(np.float64)) for (c, n), o in ((x, np.argsort(x[0])) for x in (four, three, two)))
+        c2, inv = np.unique(c3 & 0xFFFF, return_inverse=True)
         one = np.zeros((256, 256))
-        np.add.at(one, (bi >> np.uint32(8), bi & np.uint32(255)), np.bincount(inv, minlength=len(bi)) if len(bi) else 0)
+        one[c2 >> 8, c2 & 255] = np.bincount(inv, minlength=len(c2))
         zero = (one > 0).sum(0)[None, :]
-        ctx2, ctx3 = np.unique(tri >> np.uint32(8)), np.unique(deep >> np.uint32(8))
-        two = dense(tri, tri_n, ctx2)
-        self.ctx2, self.ctx3 = ctx2, ctx3
-        parts = [context_table([one, zero])]
-        if len(ctx2):
-            parts.append(context_table([two, one[ctx2 & 255], zero]))
-        for i in range(0, len(ctx3), 4096):
-            c = ctx3[i : i + 4096]
-            at = np.searchsorted(ctx2, c & np.uint32(0xFFFF))
-            parts.append(context_table([dense(deep, deep_n, c), two[at], one[c & 255], zero]))
-        self.logs = np.log10(np.concatenate(parts)).astype(np.float32)
-        self._ids = None
-
-    def ids(self) -> np.ndarray:
-        if self._ids is None:
-            two = np.tile(np.arange(256, dtype=np.int32), 256)
-            two[self.ctx2] = 256 + np.arange(len(self.ctx2), dtype=np.int32)
-            ids = np.tile(two, 256)
-            ids[self.ctx3] = 256 + len(self.ctx2) + np.arange(len(self.ctx3), dtype=np.int32)
-            self._ids = ids
-        return self._ids
-
-    def __getstate__(self):
-        return self.__dict__ | {"_ids": None}
+        ctx = [np.unique(c >> 8) for c in (c3, c4, c5)]
+        base = np.cumsum([256, len(ctx[0]), len(ctx[1])])
+        self.top = np.tile(np.arange(256, dtype=np.int32), 256)
+        self.top[ctx[0]] = base[0] + np.arange(len(ctx[0]), dtype=np.int32)
+        self.child = np.full((base[2], 256), -1, np.int32)
+        up3 = self.top[ctx[1] & 0xFFFF]
+        self.child[up3, ctx[1] >> 16] = base[1] + np.arange(len(ctx[1]), dtype=np.int32)
+        up4 = np.searchsorted(ctx[1], ctx[2] & 0xFFFFFF)
+        self.child[base[1] + up4, ctx[2] >> 24] = base[2] + np.arange(len(ctx[2]), dtype=np.int32)
+        parts = [np.log10(context_table([one, zero])).astype(np.float32)]
+        for k, events in enumerate(((c3, n3), (c4, n4), (c5, n5))):
+            for i in range(0, len(ctx[k]), 2048):
+                own = ctx[k][i : i + 2048]
+                levels = [_dense(*events, own)]
+                if k > 1:
+                    levels.append(_rows(c4, n4, own & 0xFFFFFF))
+                if k > 0:
+                    levels.append(_rows(c3, n3, own & 0xFFFF))
+                parts.append(np.log10(context_table([*levels, one[own & 255], zero])).astype(np.float32))
+        self.logs = np.concatenate(parts)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
         code, starts, ends = _events(texts)
-        each = self.logs.reshape(-1).take(self.ids().take(code >> np.uint32(8)).astype(np.int64) * 256 + (code & np.uint32(255)))
+        row = self.top.take((code >> np.uint64(8) & np.uint64(0xFFFF)).view(np.int64))
+        deep = np.ones(len(code), bool)
+        for shift in (24, 32):
+            nxt = self.child.reshape(-1).take(np.minimum(row, len(self.child) - 1).astype(np.int64) * 256 + (code >> np.uint64(shift) & np.uint64(255)).view(np.int64))
+            deep &= nxt >= 0
+            row = np.where(deep, nxt, row)
+        each = self.logs.reshape(-1).take(row.astype(np.int64) * 256 + (code & np.uint64(255)).view(np.int64))
         bounds = np.stack([starts, np.minimum(ends, len(each))], 1).ravel()
-        total = np.add.reduceat(np.append(each.astype(np.float64), 0.0), bounds)[::2]
-        return total
+        return np.add.reduceat(np.append(each.astype(np.float64), 0.0), bounds)[::2]
 
 
 def _score(data):
@@ -195,22 +212,28 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counted = stash(rows.mapInArrow(_count, "kind byte, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")))
+    counted = stash(rows.mapInArrow(lean(_count), "kind byte, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")))
     words, grams = counted.where("kind = 0").select("code", "n"), counted.where("kind = 1").select("code", "n")
-    n_all, vocabulary, events = counted.agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.count(F.when(F.col("kind") == 0, 1)), F.sum(F.when(F.col("kind") == 1, F.col("n")))).first()
-    n_all, events = n_all or 0, events or 0
-    # at most 1 / FLOOR contexts of 256 symbols; at most 256 ** 3 three-byte codes; at most 1 / FREQUENT words
-    grams = grams.withColumn("ctx", F.shiftright("code", 8))
-    kept = grams.groupBy("ctx").agg(F.sum("n").alias("of")).where(F.col("of") >= events * FLOOR)
-    deep = grams.join(kept, "ctx").select("code", "n").toPandas()
-    tri = grams.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.count("*").alias("n")).toPandas()
-    model = PpmModel(deep["code"].to_numpy(np.int64), deep["n"].to_numpy(np.int64), tri["code"].to_numpy(np.int64), tri["n"].to_numpy(np.int64))
+    n_all, vocabulary, n_events = counted.agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.count(F.when(F.col("kind") == 0, 1)), F.sum(F.when(F.col("kind") == 1, F.col("n")))).first()
+    n_all, n_events = n_all or 0, n_events or 0
+    # at most 1 / FLOOR contexts of 256 symbols at each depth; at most 256 ** 3 three-byte codes; at most 1 / FREQUENT words
+    short = stash(grams.groupBy(F.col("code").bitwiseAND(0xFFFFFFFF).alias("code")).agg(F.count("*").alias("n"), F.sum("n").alias("seen")))
+
+    def kept(events: DataFrame, seen: str) -> tuple[np.ndarray, np.ndarray]:
+        ctx = events.groupBy(F.shiftright("code", 8).alias("ctx")).agg(F.sum(seen).alias("of")).where(F.col("of") >= n_events * FLOOR)
+        return arrays(events.join(ctx, F.shiftright("code", 8) == F.col("ctx")))
+
+    def arrays(events: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = events.select("code", "n").toPandas()
+        return got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+    model = PpmModel(kept(grams, "n"), kept(short, "seen"), arrays(short.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.count("*").alias("n"))))
     often = words.where(F.col("n") >= n_all * FREQUENT).toPandas()
     known = often["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     data = spark.sparkContext.broadcast((model, known[order], often["n"].to_numpy(np.int64)[order]))
     free_shuffles(spark)
-    scored = stash(rows.mapInArrow(_score(data), "doc_id long, held_out boolean, n_tokens long, sum_known double, n_found long, score double, rare array<struct<h:long,m:int>>").withColumn("row", F.monotonically_increasing_id()))
+    scored = stash(rows.mapInArrow(lean(_score(data)), "doc_id long, held_out boolean, n_tokens long, sum_known double, n_found long, score double, rare array<struct<h:long,m:int>>").withColumn("row", F.monotonically_increasing_id()))
     met = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.h").alias("code"), F.col("r.m").alias("m")).join(words.where(F.col("n") < n_all * FREQUENT), "code")
     late = met.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("s"), F.sum("m").cast("long").alias("k"))
     out = scored.drop("rare").join(late, "row", "left")
