@@ -11,7 +11,7 @@ are exact and ties go to the smaller id. The first threshold comes from a small
 Defined results: vectors that are null, empty, hold null or non-finite components, or whose length differs from the
 query's are left out (they neither ask nor answer); a null id is left out; a query's own row (same id, so also a
 repeated row of it) is no answer; repeated rows of another id answer once; fewer than k candidates give fewer rows; an
-empty table gives none. Scores are exact while they fit in 2**53.
+empty table gives none. Scores are exact while they fit in 64 bits.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from perkline.llm.common import lean
+
 BLOCK, DIMS, HEAD = 8192, 16, 512
-#: Components beyond this are cut to it, so that sums stay exact for up to 4096 dimensions.
-LARGEST = float(1 << 20)
+#: Whole numbers up to this are exact as doubles; blocks whose sums could pass it are scored in 64-bit integers.
+EXACT = float(1 << 53)
 
 
 def _pack(group: str):
-    """Arrow rows (id, vector, group) -> one row for each group and dimension: packed ids and a vertical int32 matrix."""
+    """Arrow rows (id, vector, group) -> one row for each group and dimension: packed ids and a vertical matrix of 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -38,13 +40,13 @@ def _pack(group: str):
             rows = held.pop(key)
             ids = np.array([r[0] for r in rows], np.int64)
             m = np.stack([r[1] for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m.T.astype(np.int32)).tobytes()], pa.binary())], [group, "dim", "ids", "columns"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m.T).tobytes()], pa.binary())], [group, "dim", "ids", "columns"])
 
         for b in batches:
             ids, groups = b.column(0).to_pylist(), b.column(2).to_pylist()
             for i, v, g in zip(ids, b.column(1).to_pylist(), groups, strict=True):
                 key = (g, len(v))
-                held.setdefault(key, []).append((i, np.clip(np.floor(256.0 * np.array(v, np.float64)), -LARGEST, LARGEST)))
+                held.setdefault(key, []).append((i, np.clip(np.floor(256.0 * np.array(v, np.float64)), -(2.0**62), 2.0**62).astype(np.int64)))
                 if len(held[key]) >= BLOCK:
                     yield flush(key)
         for key in list(held):
@@ -57,6 +59,11 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     """(query id, candidate id, score): the k best of this block for each query. q: rows; c: vertical, dim x n."""
     dim, n = c.shape
     out = []
+    if n and len(q) and float(np.abs(q).max()) * float(np.abs(c).max()) * dim >= EXACT:
+        for row in range(len(q_ids)):
+            alive = np.flatnonzero(c_ids != q_ids[row])
+            out += _best(q_ids[row], c_ids[alive], (q[row] @ c)[alive], k)
+        return out
     c = c.astype(np.float64)
     head = min(n, HEAD)
     first = q.astype(np.float64) @ c[:, :head]
@@ -83,22 +90,26 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             if len(alive) > 4 * k and at:  # scores so far, less what can still be lost, raise the bar
                 low = acc - mass[at + DIMS] * np.sqrt(np.maximum(rest, 0))
                 bar = max(bar, np.partition(low, -k)[-k])
-        best = np.lexsort((c_ids[alive], -acc))[: 4 * k]
-        got: dict[int, int] = {}
-        for j in best if len(np.unique(c_ids[alive[best]])) >= min(k, len(best)) else np.lexsort((c_ids[alive], -acc)):
-            got.setdefault(int(c_ids[alive[j]]), int(acc[j]))
-            if len(got) == k:
-                break
-        out += [(int(q_ids[row]), i, s) for i, s in got.items()]
+        out += _best(q_ids[row], c_ids[alive], acc, k)
     return out
 
 
+def _best(query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The k best by score, then id; rows that repeat an id count once."""
+    got: dict[int, int] = {}
+    for j in np.lexsort((ids, -scores)):
+        got.setdefault(int(ids[j]), int(scores[j]))
+        if len(got) == k:
+            break
+    return [(int(query), i, s) for i, s in got.items()]
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                q = np.frombuffer(r["q_columns"], np.int32).reshape(r["dim"], -1).T
-                c = np.frombuffer(r["columns"], np.int32).reshape(r["dim"], -1)
+                q = np.frombuffer(r["q_columns"], np.int64).reshape(r["dim"], -1).T
+                c = np.frombuffer(r["columns"], np.int64).reshape(r["dim"], -1)
                 got = search_block(np.frombuffer(r["q_ids"], np.int64), q, np.frombuffer(r["ids"], np.int64), c, k)
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
 
@@ -114,16 +125,16 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     n_q = max(1, -(-asks.count() // BLOCK))
     packed = "long, dim int, ids binary, columns binary"
     # query blocks: few large rows, dealt by a hash of the id
-    q = asks.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n_q))).repartition(n_q, "g").mapInArrow(_pack("qblock"), f"qblock {packed}")
+    q = asks.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n_q))).repartition(n_q, "g").mapInArrow(lean(_pack("qblock")), f"qblock {packed}")
     q = q.select("qblock", "dim", F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"))
     # candidate blocks as they come from the scan; each meets every query block
-    c = rows.withColumn("g", F.lit(0).cast("long")).mapInArrow(_pack("cblock"), f"cblock {packed}")
+    c = rows.withColumn("g", F.lit(0).cast("long")).mapInArrow(lean(_pack("cblock")), f"cblock {packed}")
     c = c.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long")))).drop("cblock")
     # dealt by salted query block: a block of queries goes to SALTS places, so that few query blocks keep many tasks busy
     salts = 32
     c = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     met = c.join(q, ["qblock", "dim", "salt"]).select("dim", "ids", "columns", "q_ids", "q_columns")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
+    found = met.mapInArrow(lean(_search(k)), "query_id long, vec_id long, score long").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
