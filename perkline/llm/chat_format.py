@@ -53,7 +53,7 @@ def parse_turn(part: Column) -> Column:
     name = F.substr(head, F.lit(len(START) + 1))
     escaped = F.startswith(name, F.lit(ESC))
     body = F.substr(part, F.length(head) + 2)
-    role = F.when(escaped, F.decode(F.unbase64(F.substr(name, F.lit(2))), "UTF-8")).otherwise(name)
+    role = F.when(escaped, F.try_to_binary(F.substr(name, F.lit(2)), F.lit("base64")).cast("string")).otherwise(name)
     return F.struct(role.alias("role"), F.when(escaped, unescape(body)).otherwise(body).alias("text"), (F.length(head) + 1).alias("at"), escaped.alias("escaped"))
 
 
