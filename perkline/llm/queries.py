@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perkline.llm.common import ship
 from perkline.llm.chat_format import chat_digest
 from perkline.llm.fingerprint import edit_pairs
 from perkline.llm.language_id import document_fields, fit_text_model, identify, page_fields
@@ -14,10 +15,12 @@ from perkline.llm.ngram_join import join_ngrams
 from perkline.llm.piece_codec import encode_pieces
 from perkline.llm.ppm_score import score_documents
 from perkline.llm.secret_scan import scan_secrets
+from perkline.llm.sql import ORACLES  # noqa: F401
 from perkline.llm.topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,4 +72,3 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_topk_search, op4_ppm_score, op5_sentencepiece, op6_license_scan, op7_chat_format, op8_mixing, op9_fingerprint, op10_language_id)}
-ORACLES: dict[str, str] = {}
