@@ -45,14 +45,20 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A table in the query's text: the planner knows its size, which it does not of rows sent from Python."""
+    cell = lambda x: "CAST(NULL AS STRING)" if x is None else repr(x)
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({names})")
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    raw = spark.createDataFrame(list(RULES), "rule_id string, rule_card int, category string, multiplier string, cap string, since string, till string")
+    raw = _inline(spark, list(RULES), "rule_id, rule_card, category, multiplier, cap, since, till")
     return raw.select("rule_id", F.col("rule_card").cast("long").alias("card_id"), "category", F.col("multiplier").cast("decimal(6,2)").alias("multiplier"), F.col("cap").cast(MONEY).alias("cap"), F.col("since").cast("date").alias("since"), F.col("till").cast("date").alias("till"))
 
 
 def rates(spark: SparkSession) -> DataFrame:
     rows = [(c, y, r[y % 2]) for c, r in RATES.items() for y in range(1990, 2010)]
-    return spark.createDataFrame(rows, "rate_currency string, rate_year int, rate string").withColumn("usd_rate", F.col("rate").cast("decimal(10,4)")).drop("rate")
+    return _inline(spark, rows, "rate_currency, rate_year, rate").withColumn("usd_rate", F.col("rate").cast("decimal(10,4)")).drop("rate")
 
 
 def deliveries(spark: SparkSession, d: str) -> DataFrame:

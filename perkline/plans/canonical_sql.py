@@ -106,5 +106,9 @@ SQL = {
     "q26_check_freshness": _check("freshness_days_max", "n <= 45", "n", f"date_diff('day', max(ts)::DATE, DATE '{AS_OF}') AS n FROM events"),
     "q27_check_referential": _check("referential_integrity", "n = 0", "n", "count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"),
     "q28_reject_histogram": f"WITH {_TXN} SELECT reason, count(*) AS n FROM txn WHERE reason IS NOT NULL GROUP BY reason",
+    "q29_schema_drift": """WITH have AS (SELECT column_name AS name, lower(data_type) AS type FROM information_schema.columns WHERE table_name = 'orders'),
+      want(name, type) AS (VALUES ('o_orderkey', 'bigint'), ('customer', 'bigint'), ('o_totalprice', 'decimal(14,2)'), ('o_orderstatus', 'varchar'))
+      SELECT CASE WHEN h.name IS NULL THEN 'missing' WHEN w.name IS NULL THEN 'undeclared' ELSE 'mismatch' END AS kind, coalesce(w.name, h.name) AS name, CASE WHEN w.name IS NULL OR h.name IS NULL THEN '' ELSE w.type || ' ' || h.type END AS types
+      FROM want w FULL JOIN have h ON w.name = h.name WHERE w.type IS DISTINCT FROM h.type""",
     "q30_corrupt_split": "SELECT CASE WHEN event_id % 10 = 0 THEN 'broken' ELSE event_type END AS kind, count(*) AS n, count(*) FILTER (event_id % 10 = 0) AS broken FROM events GROUP BY 1",
 }
