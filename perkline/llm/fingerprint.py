@@ -33,7 +33,9 @@ BUCKETS, LENGTH_MOST, PIECE = 256, 16, 1 << 20
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 8
 MOST = 6 * BUCKETS + LENGTH_MOST
-_T = (np.arange(256, dtype=np.uint32) * np.uint32(2654435761), np.arange(256, dtype=np.uint32) * np.uint32(2246822519), np.arange(256, dtype=np.uint32) * np.uint32(3266489917))
+# Fixed values of the digest: odd multipliers of the three bytes, and what turns the gapped triplets' hashes.
+MULTIPLIERS, TURN = (2654435761, 2246822519, 3266489917), 0x5BD1E995
+_T = tuple(np.arange(256, dtype=np.uint32) * np.uint32(m) for m in MULTIPLIERS)
 _STEP = np.where(np.abs(np.subtract.outer(np.arange(4), np.arange(4))) == 3, 6, np.abs(np.subtract.outer(np.arange(4), np.arange(4))))
 
 
@@ -47,7 +49,7 @@ def bucket_counts(data: bytes) -> np.ndarray:
         near = pair[: min(PIECE, len(a) - 2)] ^ z[2:][:PIECE]
         total += np.bincount((near >> np.uint32(24)).view(np.int32), minlength=BUCKETS)
         gap = pair[: min(PIECE, len(a) - 3)] ^ z[3:][:PIECE]
-        total += np.bincount(((gap ^ np.uint32(0x5BD1E995)) >> np.uint32(24)).view(np.int32), minlength=BUCKETS)
+        total += np.bincount(((gap ^ np.uint32(TURN)) >> np.uint32(24)).view(np.int32), minlength=BUCKETS)
     return total
 
 

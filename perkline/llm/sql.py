@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from perkline.llm.chat_format import CONTROL, END, START
+from perkline.llm.fingerprint import BUCKETS, LENGTH_MOST, MOST, MULTIPLIERS, TURN
+from perkline.llm.license_scan import COVER, NOTICE_K, NOTICES, PHRASE_K, PHRASES, SLACK, license_words
+from perkline.llm.secret_scan import EXAMPLE_OWNERS, LIVE_BITS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -59,4 +62,102 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
-ORACLES = {"op1_ngram_join": OP1, "op3_topk_search": OP3, "op7_chat_format": OP7, "op8_mixing": OP8}
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _any_case("api") + "_?" + _any_case("key") + ")[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)"
+_BLANK = "|".join(_any_case(w) for w in ("example", "changeme", "placeholder", "your")) + "[_-]"
+
+
+def _places(kind: str, rank: int, pattern: str, group: int) -> str:
+    """start, end (code points) and value of every match: from the lengths of the pieces between matches."""
+    return f"""SELECT row, owner, '{kind}' AS kind, {rank} AS rank, start, start + len(hit) AS stop, value FROM (
+      SELECT row, owner, hit, value, coalesce(sum(len(piece) + len(hit)) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + len(piece) AS start FROM (
+        SELECT row, owner, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(vals) AS value, unnest(pieces[1 : len(hits)]) AS piece FROM (
+          SELECT row, owner, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {group}) AS vals, string_split_regex(text, '{pattern}') AS pieces FROM d) WHERE len(hits) > 0))"""
+
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+base AS (
+  SELECT * FROM ({_places("assign", 0, _ASSIGN, 2)}) WHERE len(value) >= 6
+  UNION ALL SELECT * FROM ({_places("access", 1, "AKIA[A-Z0-9]+", 0)}) WHERE len(value) >= 20
+  UNION ALL SELECT * FROM ({_places("hex", 2, "[0-9a-f]+", 0)}) WHERE len(value) >= 24),
+mixed AS (
+  SELECT * FROM ({_places("owned", 3, "[A-Za-z0-9+/_=-]+", 0)}) m
+  WHERE len(value) >= 20 AND regexp_matches(value, '[0-9]') AND lower(value) <> value AND upper(value) <> value
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = m.row AND b.start < m.stop AND b.stop > m.start)),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM mixed),
+bits AS (SELECT value, -sum(n / len * log2(n / len)) AS bits FROM (SELECT value, c, count(*)::DOUBLE AS n, len(value)::DOUBLE AS len FROM (SELECT value, unnest(string_split(value, '')) AS c FROM (SELECT DISTINCT value FROM found)) GROUP BY value, c) GROUP BY value),
+held AS (SELECT f.*, bits >= {LIVE_BITS} AND NOT regexp_matches(value, '[xX]{{4,}}|0{{6,}}|1234567') AND NOT regexp_matches(value, '{_BLANK}') AS live FROM found f JOIN bits USING (value)),
+keep AS (SELECT * FROM held WHERE rank < 3 OR live),
+owners AS (SELECT value, count(DISTINCT owner) AS owners FROM keep GROUP BY value),
+told AS (SELECT k.*, owners, owners < {EXAMPLE_OWNERS} AND live AS owned FROM keep k JOIN owners USING (value)),
+sums AS (
+  SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+    count(*) FILTER (owned) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example
+  FROM told WHERE rank < 3 OR owned GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN sums USING (row)
+"""
+
+
+def _template_rows() -> str:
+    rows = []
+    for t, (text, label, exact) in enumerate([(*p, True) for p in PHRASES] + [(*p, False) for p in NOTICES]):
+        words, k = [w.decode() for w in license_words(text)], PHRASE_K if exact else NOTICE_K
+        rows += [f"({t}, {_quoted(label)}, {str(exact).lower()}, {k}, {_quoted(' '.join(words[i : i + k]))}, {i}, {len(words) - k + 1})" for i in range(len(words) - k + 1)]
+    return ", ".join(rows)
+
+
+OP6 = f"""
+WITH t(template, label, exact, k, gram, place, grams) AS (VALUES {_template_rows()}),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+g AS (SELECT row, k, i - 1 AS pos, array_to_string(words[i : i + k - 1], ' ') AS gram FROM (SELECT row, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM d, (VALUES ({PHRASE_K}), ({NOTICE_K})) x(k) WHERE len(words) >= k)),
+votes AS (SELECT row, template, label, exact, grams, place, pos, pos - place AS diagonal FROM g JOIN t USING (k, gram)),
+lines AS (SELECT row, template, label, exact, grams, diagonal FROM votes GROUP BY ALL),
+marked AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER w > {SLACK}, true) THEN 1 ELSE 0 END AS new FROM lines WINDOW w AS (PARTITION BY row, template ORDER BY diagonal)),
+spanned AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+merged AS (
+  SELECT s.row, s.template, s.label, s.exact, s.grams, s.span, count(DISTINCT v.place) AS covered, min(v.pos) AS start
+  FROM spanned s JOIN votes v ON v.row = s.row AND v.template = s.template AND v.diagonal = s.diagonal GROUP BY ALL),
+good AS (SELECT *, covered::DOUBLE / grams AS cover FROM merged WHERE CASE WHEN exact THEN covered = grams ELSE covered::DOUBLE / grams >= {COVER} END),
+told AS (
+  SELECT row, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(CASE WHEN exact THEN 1.0 ELSE cover END)::DOUBLE AS score
+  FROM good GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN told USING (row)
+"""
+
+_TRIPLE = " ".join(["xor(xor((l[i] * {0}) % 4294967296, (l[i + 1] * {1}) % 4294967296), (l[i + {{gap}}] * {2}) % 4294967296)".format(*MULTIPLIERS)])
+_LIKE = "CASE WHEN {a}.fp = {b}.fp THEN 1.0 WHEN {a}.fp[1] = 's' OR {b}.fp[1] = 's' THEN 0.0 ELSE 1 - (least(%d, abs({a}.size - {b}.size)) + list_sum(list_transform(range(1, %d), lambda k: CASE WHEN abs({a}.levels[k] - {b}.levels[k]) = 3 THEN 6 ELSE abs({a}.levels[k] - {b}.levels[k]) END))) / %d.0 END" % (LENGTH_MOST, BUCKETS + 1, MOST)
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
+e AS (SELECT doc_id, t, nxt, substr(t, 1, len(t) - len(t) // 2) || substr(nxt, 1, len(t) // 2) AS ed FROM n),
+x AS (SELECT DISTINCT text, hex(encode(text)) AS h FROM (SELECT t AS text FROM e UNION ALL SELECT ed FROM e)),
+b AS (SELECT text, h, list_transform(regexp_extract_all(h, '..'), lambda p: ((strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1)::BIGINT) AS l FROM x),
+g AS (
+  SELECT text, {_TRIPLE.format(gap=2)} // 16777216 AS bucket FROM (SELECT text, l, unnest(range(1, len(l) - 1)) AS i FROM b WHERE len(l) >= 3)
+  UNION ALL SELECT text, xor({_TRIPLE.format(gap=3)}, {TURN}) // 16777216 FROM (SELECT text, l, unnest(range(1, len(l) - 2)) AS i FROM b WHERE len(l) >= 4)),
+c AS (SELECT text, bucket, count(*) AS n FROM g GROUP BY text, bucket),
+f AS (SELECT b.text, k.bucket, coalesce(c.n, 0) AS n FROM (SELECT text FROM b WHERE len(l) >= 3) b CROSS JOIN (SELECT unnest(range(0, {BUCKETS})) AS bucket) k LEFT JOIN c ON c.text = b.text AND c.bucket = k.bucket),
+r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n) AS place FROM f),
+q AS (SELECT text, max(n) FILTER (place = {BUCKETS // 4}) AS q1, max(n) FILTER (place = {BUCKETS // 2}) AS q2, max(n) FILTER (place = {3 * BUCKETS // 4}) AS q3 FROM r GROUP BY text),
+v AS (SELECT f.text, bucket, (n > q1)::INT + (n > q2)::INT + (n > q3)::INT AS level FROM f JOIN q USING (text)),
+p AS (SELECT text, bucket // 4 AS slot, sum(level * CASE bucket % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 16 ELSE 64 END)::INT AS byte FROM v GROUP BY 1, 2),
+z AS (SELECT text, string_agg(lower(substr('0123456789ABCDEF', byte // 16 + 1, 1) || substr('0123456789ABCDEF', byte % 16 + 1, 1)), '' ORDER BY slot) AS digits FROM p GROUP BY text),
+w AS (SELECT text, list(level ORDER BY bucket) AS levels FROM v GROUP BY text),
+s AS (SELECT b.text, CASE WHEN len(l) >= 3 THEN least(255, round(8 * log2(len(l))))::INT END AS size, levels, digits, lower(h) AS h FROM b LEFT JOIN z USING (text) LEFT JOIN w USING (text)),
+fp AS (SELECT text, size, levels, CASE WHEN size IS NULL THEN 's' || h ELSE 'q' || lower(substr('0123456789ABCDEF', size // 16 + 1, 1) || substr('0123456789ABCDEF', size % 16 + 1, 1)) || digits END AS fp FROM s)
+SELECT e.doc_id, len(e.t)::BIGINT AS n_chars, sha256(e.ed) AS edited_sha256, o.fp AS fingerprint, m.fp AS edited_fingerprint,
+  ({_LIKE.format(a="o", b="m")})::DOUBLE AS near_edited, ({_LIKE.format(a="o", b="y")})::DOUBLE AS near_next
+FROM e JOIN fp o ON o.text = e.t JOIN fp m ON m.text = e.ed JOIN fp y ON y.text = e.nxt
+"""
+
+ORACLES = {"op1_ngram_join": OP1, "op2_secret_scan": OP2, "op3_topk_search": OP3, "op6_license_scan": OP6, "op7_chat_format": OP7, "op8_mixing": OP8, "op9_fingerprint": OP9}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from perkline.llm.common import ascii_words, shingle_set, WordHashes
 from perkline.llm.fingerprint import MOST, bucket_counts, fingerprint, likeness
 from perkline.llm.language_id import document_fields, fit_text_model, identify, page_fields, visible_text
-from perkline.llm.ngram_join import LIGHT, block_links, misfits, need, scan_lists, signatures, subset_sizes
+from perkline.llm.ngram_join import LIGHT, block_links, components, misfits, need, scan_lists, signatures, subset_sizes
 from perkline.llm.piece_codec import DEFAULT_MODEL, PieceCodec, PieceModel, decode_pieces, encode_pieces
 from perkline.llm.ppm_score import PpmModel, context_table, held_out, score_documents
 from perkline.llm.queries import QUERIES
@@ -159,6 +159,26 @@ def test_op1_boundary_and_blocks():
     assert shingle_set(WordHashes().of(ascii_words("A b C"))).tolist() == shingle_set(WordHashes().of(ascii_words("a  B\tc"))).tolist()
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    """Long chains, stars and random graphs, against union-find."""
+    rng = np.random.default_rng(seed)
+    edges = [(i, i + 1) for i in rng.permutation(60).tolist()] + [(100, 100 + i) for i in range(1, 40)] + [(int(a), int(b)) for a, b in rng.integers(200, 400, (120, 2))]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_op3_block_keeps_ties():
     q, c = np.array([[1, 2]], np.int32), np.array([[3, 3, 1, 3], [0, 0, 1, 0]], np.int32)
     assert search_block(np.array([9]), q, np.array([4, 2, 7, 3]), c, 2) == [(9, 2, 3), (9, 3, 3)]
