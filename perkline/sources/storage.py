@@ -43,6 +43,13 @@ def _rename(spark: SparkSession, src: str, dst: str) -> None:
         raise OSError(f"could not move {src} to {dst}")
 
 
+def _partition_dirs(spark: SparkSession, base: str, depth: int) -> list[str]:
+    """Paths below `base` of its partition directories, `depth` levels down."""
+    fs, p = _fs(spark, base)
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory() and "=" in st.getPath().getName()]
+    return names if depth == 1 else [f"{n}/{x}" for n in names for x in _partition_dirs(spark, join_uri(base, n), depth - 1)]
+
+
 def read_feed(spark: SparkSession, landing: str, name: str, day: str | None = None) -> DataFrame:
     """A feed with its declared schema; malformed JSON lines keep their text in the corrupt column. With `day`, a daily
     feed is read from that day's directory alone."""
@@ -86,7 +93,9 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), incremen
         staged = spark.read.schema(df.schema).parquet(staging)
         told = gate(staged) if gate else None
         if incremental and partition_by:
-            staged.write.mode("overwrite").partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic").parquet(path)
+            for part in _partition_dirs(spark, staging, len(partition_by)):  # moved, not written again
+                remove(spark, join_uri(path, part))
+                _rename(spark, join_uri(staging, part), join_uri(path, part))
         else:
             old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
             had = exists(spark, path)
