@@ -3,8 +3,8 @@
 The model's protobuf is parsed here; from it are rebuilt the normaliser (dummy prefix, metaspace marker for spaces),
 the pieces with their scores and types, byte fallback, and the model itself: a unigram model takes the scores as they
 are; a BPE model takes as merges every split of a piece into two pieces, ranked by score. Texts are cut before each
-word's metaspace marker, which changes nothing as no piece holds a marker behind another character (checked when the
-model is read; otherwise texts stay whole). Words are encoded once and remembered; new ones go to the backend in one
+word's metaspace marker, which changes nothing as no piece holds a marker behind another character and each text
+begins with one (checked when the model is read; otherwise texts stay whole). Words are encoded once and remembered; new ones go to the backend in one
 multithreaded batch. Parity with the sentencepiece library is checked on every text whose crc32 of the id is divisible
 by `verify_every` (1: all).
 
@@ -82,7 +82,7 @@ class PieceModel:
                 self.prefix, self.squeeze, self.spaces, self.charsmap = bool(n.get(3, 1)), bool(n.get(4, 1)), bool(n.get(5, 1)), n.get(2, b"")
         if self.kind not in (UNIGRAM, BPE) or not self.spaces:
             raise ValueError("only unigram and BPE models with escaped spaces are supported")
-        self.by_word = not any(MARK in p[1:] and p.strip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER))
+        self.by_word = self.prefix and not any(MARK in p[1:] and p.strip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER))
         self.special = [t == CONTROL for _, _, t in self.pieces]
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
 
@@ -112,31 +112,63 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class PieceCodec:
-    """Encodes and decodes texts with one model; keeps the ids of up to REMEMBERED words, sends BATCH at a time."""
+    """Encodes and decodes texts with one model; keeps the ids of about REMEMBERED words, twice; sends BATCH words at a
+    time to the backend, on THREADS threads."""
 
-    REMEMBERED, BATCH = 120_000, 4096
+    REMEMBERED, BATCH, JOINED, THREADS = 80_000, 8192, 32, 2
 
     def __init__(self, data: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(self.THREADS))
         self.model = PieceModel(data)
         self.tokenizer = self.model.backend()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.leads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         table = []
         for i, (p, _, t) in enumerate(self.model.pieces):
             table.append(bytes([self.model.bytes[i]]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode())
         self.table = table
 
+    def words(self, text: str) -> list[str]:
+        """The normalised text cut before each word's marker. Most texts are cut at their single spaces alone; such
+        words come without their marker."""
+        m = self.model
+        if not m.by_word:
+            text = m.normalise(text)
+            return [text] if text else []
+        if not text:
+            return []
+        if not m.charsmap and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return _WORD.findall(m.normalise(text))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words that are not known yet. Words without a marker get theirs and go JOINED to a string: no piece
+        crosses a marker, so the ids fall apart again before each piece that starts with one."""
+        plain = [w for w in words if self.model.by_word and w[0] != MARK]
+        for i in range(0, len(plain), self.BATCH):
+            part = plain[i : i + self.BATCH]
+            joined = ["".join([MARK + w for w in part[j : j + self.JOINED]]) for j in range(0, len(part), self.JOINED)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, [data[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
+        rest = [w for w in words if not self.model.by_word or w[0] == MARK]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, np.int32).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [_WORD.findall(n) if self.model.by_word else [n] if n else [] for n in map(self.model.normalise, texts)]
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in cut for w in words} - known.keys())
-        for i in range(0, len(new), self.BATCH):
-            part = new[i : i + self.BATCH]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
+        cut = [self.words(t) for t in texts]
+        if len(self.known) > self.REMEMBERED:  # words of the last generation that are met again move up
+            self.known, self.before = {}, self.known
+        new: set[str] = set()
+        for words in cut:
+            new.update(set(words).difference(self.known))
+        again = new & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        self._learn(list(new - again))
+        find = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(find, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
