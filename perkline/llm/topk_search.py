@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from perkline.llm.common import lean
 
-BLOCK, DIMS, HEAD = 8192, 16, 512
+BLOCK, DIMS, HEAD, PLACE_BLOCKS = 8192, 16, 512, 8
 #: Whole numbers up to this are exact as doubles; blocks whose sums could pass it are scored in 64-bit integers.
 EXACT = float(1 << 53)
 
@@ -122,7 +122,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     sound = F.col(id_col).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), vec.alias("v"))
     asks = rows.where(F.col("id") % every == 0)
-    n_q = max(1, -(-asks.count() // BLOCK))
+    n_asks, n_rows = rows.agg(F.count_if(F.col("id") % every == 0), F.count("*")).first()
+    n_q = max(1, -(-n_asks // BLOCK))
     packed = "long, dim int, ids binary, columns binary"
     # query blocks: few large rows, dealt by a hash of the id
     q = asks.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n_q))).repartition(n_q, "g").mapInArrow(lean(_pack("qblock")), f"qblock {packed}")
@@ -130,8 +131,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     # candidate blocks as they come from the scan; each meets every query block
     c = rows.withColumn("g", F.lit(0).cast("long")).mapInArrow(lean(_pack("cblock")), f"cblock {packed}")
     c = c.withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long")))).drop("cblock")
-    # dealt by salted query block: a block of queries goes to SALTS places, so that few query blocks keep many tasks busy
-    salts = 32
+    # dealt by salted query block: a block of queries goes to several places, each with some PLACE_BLOCKS of candidates
+    salts = max(32, n_rows // (PLACE_BLOCKS * BLOCK))
     c = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     met = c.join(q, ["qblock", "dim", "salt"]).select("dim", "ids", "columns", "q_ids", "q_columns")
