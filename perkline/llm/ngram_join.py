@@ -15,8 +15,9 @@ and the sets differ in at most (s + t) / 9 places.
   corpus. A linked set misses at most a fifth of its shingles in its partner, so of its m sampled shingles at least
   m - size / 5 occur in some other set; sets with fewer shared ones are linked with nothing and leave. Only the rest,
   mostly near copies, is indexed. The sieve is a bound, not an estimate: it loses no link.
-* The boundary is the largest size for which E(s) <= P(s): cost, counted in index entries, is a sum over sets, so the
-  cheaper side for each size is the cheapest in all.
+* The boundary is the largest size for which E(s) <= SCAN * P(s): cost is a sum over sets, so the cheaper side for each
+  size is the cheapest in all. A list entry counts SCAN times a subset entry: small sets have one shingle a part, and
+  such a list is scanned and its pairs verified, where a shared subset is nearly always a link.
 * Empty parts count for nothing. The slack in K is raised, level by level, until every set of the level has more
   filled parts than it can have differences (checked over all sets; with K = infinity each shingle is a part).
 
@@ -45,6 +46,8 @@ from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffl
 
 #: Longest list that gives all pairs; entries of a bucket aimed at; entries that a task holds before it sends them.
 SHORT, BUCKET_ENTRIES, HOLD = 8, 1_000_000, 1_000_000
+#: Cost of a list entry in subset entries.
+SCAN = 4
 #: Sets of a cell in the comparison of long lists.
 CELL = 400
 FILTER_BITS = 1 << 22
@@ -86,9 +89,9 @@ def parts_of(s: int, bounds: np.ndarray) -> int:
 
 
 def light_boundary() -> int:
-    """The largest size whose subsets cost no more than its parts."""
+    """The largest size whose subsets cost no more than its list entries."""
     s = 1
-    while sum(comb(s + 1, c) for c in subset_sizes(s + 1, s + 1)) <= max(parts_of(s + 1, level_bounds(s + 1)), s + 1):
+    while sum(comb(s + 1, c) for c in subset_sizes(s + 1, s + 1)) <= SCAN * parts_of(s + 1, level_bounds(s + 1)):
         s += 1
     return s
 
