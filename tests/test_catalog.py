@@ -99,7 +99,7 @@ def test_settings(tmp_path):
     s = load_settings(environ={"RP_WAREHOUSE_PATH": "/w", "SPARK_SHUFFLE_PARTITIONS": "3"})
     assert (s.warehouse, s.reports, s.raw["spark"]["shuffle_partitions"], s.environment) == ("/w", "/w", 3, "local")
     prod = load_settings(environ={"RP_ENV": "prod"})
-    assert prod.warehouse.startswith("s3a://") and not prod.reports.startswith("s3a") and prod.database == "rewards_prod"
+    assert prod.warehouse.startswith("s3a://") and not prod.reports.startswith("s3a") and prod.database == "loyalty_prod"
     assert prod.raw["spark"]["configs"]["spark.sql.session.timeZone"] == "UTC"
     with pytest.raises(ValueError):
         _ = load_settings(environ={"RP_WAREHOUSE_PATH": "s3a://b/w"}).reports
