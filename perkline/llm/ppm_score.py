@@ -1,12 +1,17 @@
 """Language-model scoring by prediction by partial matching (PPM), with a unigram base score beside it.
 
 The model is a byte-context trie of depth ORDER = 4, learned from the training documents of the whole table: one
-scan counts all five-byte events and all words, and both counts are reduced by Spark. A node of depth 3 or 4 is kept if
-its context makes up at least FLOOR of all events, so each depth has at most 1 / FLOOR nodes at any size of the corpus;
-texts in rarer contexts are scored from the deepest node there is. Lower depths count a symbol once for each longer context it followed (update exclusion).
+scan counts all five-byte events and all words, and both counts are reduced by Spark. Every observed context is kept, at
+any size of the corpus. Lower depths count a symbol once for each longer context it followed (update exclusion).
 Escapes are estimated by method D (each symbol first seen in a context gives half an event to the escape); below a
 context, its symbols are excluded from the shorter ones (symbol exclusion); the last resort is uniform over the rest.
-The probabilities of all 256 symbols in each kept context are laid out in one table, so scoring is a walk down the trie and one look-up a byte.
+The symbols of a context are among those of its shorter ones, so what is left of a shorter context below a longer one is
+a total and a number of symbols: escapes need these two for each context, and no table of symbols.
+
+Look-up: the events of depth 3 and 4 stay distributed, in buckets by the last three bytes of the context, which hold all
+that an event needs at both depths; events of depth 2 and less are 256 ** 3 at most and go to every task. Texts are
+packed in blocks of about BLOCK bytes; a block asks for each of its distinct events once, buckets answer with log
+probabilities in the order asked, and a block adds them up over its texts.
 Each text is coded from a start context to an end mark (byte 255, which UTF-8 never has).
 
 Base score: c, N and V over the training tokens. Words that make up FREQUENT of all tokens or more (so at most
@@ -25,18 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, ascii_words, free_shuffles, lean, slices, stash
+from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, lean, slices, stash, trim
 
-ORDER, FLOOR, FREQUENT = 4, 2.0**-16, 2.0**-18
+ORDER, FREQUENT = 4, 2.0**-18
 FOLDS, HELD = 7, 2
 PAD, END = b"\xff" * ORDER, b"\xff"
 #: The end of a text as a word: no word holds a space.
 END_WORD = b" end"
 #: Distinct codes that a task gathers before it reduces them.
 GATHER = 8_000_000
+#: Bytes of text in a block; training events for which there is a bucket.
+BLOCK, BUCKET_EVENTS = 16 << 20, 8_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -76,6 +85,14 @@ class _Tally:
         return c, np.bincount(inv, np.concatenate(self.counts), len(c)).astype(np.int64)
 
 
+def _real(code: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The codes that are events."""
+    real = np.ones(len(code), bool)
+    for e in ends[:-1]:
+        real[e : e + ORDER] = False
+    return code[real]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, words, grams = WordHashes(), _Tally(), _Tally()
     end = hashes[END_WORD]
@@ -85,10 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         words.add(np.concatenate([*(hashes.of(ascii_words(t)) for t in texts), np.full(len(texts), end, np.uint64)]))
         code, starts, ends = _events([t.encode("utf-8", "surrogatepass") for t in texts])
-        real = np.ones(len(code), bool)
-        for e in ends[:-1]:
-            real[e : e + ORDER] = False
-        grams.add(code[real])
+        grams.add(_real(code, ends))
     for kind, tally in ((0, words), (1, grams)):
         codes, counts = tally.reduced()
         for i in range(0, len(codes), 1 << 17):
@@ -113,97 +127,195 @@ def context_table(levels: list[np.ndarray]) -> np.ndarray:
     return p + np.where(seen, 0, weight / np.maximum(rest, 1))
 
 
-def _dense(codes: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Counts (contexts x 256) of the symbols behind each context; codes are sorted."""
-    out = np.zeros((len(contexts), 256))
-    at = np.searchsorted(contexts, codes >> 8)
-    at = np.minimum(at, max(len(contexts) - 1, 0))
-    if len(contexts):
-        hit = contexts[at] == codes >> 8
-        out[at[hit], codes[hit] & 255] = n[hit]
-    return out
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each value in a sorted table; places are valid even where it is not."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
+class _Level:
+    """The events of one depth, sorted, their counts, their contexts, and each context's total and number of symbols;
+    left_n, left_d: what is left of these in the next shorter context without the symbols of this one."""
 
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, lower: _Level | None, depth: int):
+        order = np.argsort(codes)
+        self.events, self.counts, self.mask = codes[order].astype(np.int64), counts[order].astype(np.int64), (1 << 8 * (depth + 1)) - 1
+        self.contexts, starts = np.unique(self.events >> 8, return_index=True)
+        add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.empty(0, np.int64)
+        self.n, self.d = add(self.counts), np.diff(np.append(starts, len(self.events)))
+        if lower is not None and len(starts):
+            at, up = _find(lower.events, self.events & lower.mask)[0], _find(lower.contexts, self.contexts & (lower.mask >> 8))[0]
+            self.left_n, self.left_d = lower.n[up] - add(lower.counts[at]), lower.d[up] - self.d
+        else:
+            self.left_n = self.left_d = np.zeros(len(starts), np.int64)
 
-def _rows(codes: np.ndarray, n: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """As _dense, for contexts that may repeat, in any order."""
-    some, inv = np.unique(contexts, return_inverse=True)
-    return _dense(codes, n, some)[inv]
+    def shorter(self) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, counts) of the events with one byte less, counted once for each longer context."""
+        return np.unique(self.events & (self.mask >> 8), return_counts=True)
+
+
+def short_levels(two: tuple) -> list[_Level]:
+    """The levels of depth 2, 1 and 0 from (codes, counts) of all events behind two bytes."""
+    c2, n2 = np.unique(two[0] & 0xFFFF, return_counts=True)
+    zero = _Level(*np.unique(c2 & 0xFF, return_counts=True), None, 0)
+    one = _Level(c2, n2, zero, 1)
+    return [_Level(*two, one, 2), one, zero]
 
 
 class PpmModel:
-    """The kept nodes' tables. Rows: 256 contexts of one byte, then those of two, three and four bytes.
-
-    top: row of each pair of bytes; child: row of a context with one more byte in front, or -1; logs: log10
-    probabilities (rows x 256)."""
-
-    def __init__(self, four: tuple, three: tuple, two: tuple):
-        """(codes, counts) of events behind kept contexts of four and three bytes and behind all of two bytes."""
-        (c5, n5), (c4, n4), (c3, n3) = ((c[o].astype(np.int64), n[o].astype(np.float64)) for (c, n), o in ((x, np.argsort(x[0])) for x in (four, three, two)))
-        c2, inv = np.unique(c3 & 0xFFFF, return_inverse=True)
-        one = np.zeros((256, 256))
-        one[c2 >> 8, c2 & 255] = np.bincount(inv, minlength=len(c2))
-        zero = (one > 0).sum(0)[None, :]
-        ctx = [np.unique(c >> 8) for c in (c3, c4, c5)]
-        base = np.cumsum([256, len(ctx[0]), len(ctx[1])])
-        self.top = np.tile(np.arange(256, dtype=np.int32), 256)
-        self.top[ctx[0]] = base[0] + np.arange(len(ctx[0]), dtype=np.int32)
-        self.child = np.full((base[2], 256), -1, np.int32)
-        up3 = self.top[ctx[1] & 0xFFFF]
-        self.child[up3, ctx[1] >> 16] = base[1] + np.arange(len(ctx[1]), dtype=np.int32)
-        up4 = np.searchsorted(ctx[1], ctx[2] & 0xFFFFFF)
-        self.child[base[1] + up4, ctx[2] >> 24] = base[2] + np.arange(len(ctx[2]), dtype=np.int32)
-        parts = [np.log10(context_table([one, zero])).astype(np.float32)]
-        for k, events in enumerate(((c3, n3), (c4, n4), (c5, n5))):
-            for i in range(0, len(ctx[k]), 2048):
-                own = ctx[k][i : i + 2048]
-                levels = [_dense(*events, own)]
-                if k > 1:
-                    levels.append(_rows(c4, n4, own & 0xFFFFFF))
-                if k > 0:
-                    levels.append(_rows(c3, n3, own & 0xFFFF))
-                parts.append(np.log10(context_table([*levels, one[own & 255], zero])).astype(np.float32))
-        self.logs = np.concatenate(parts)
+    """The counts of a set of events of depth 4 and 3, with all those of lower depths."""
+
+    def __init__(self, four: tuple, three: tuple, two: tuple | list[_Level]):
+        """(codes, counts) of events behind contexts of four, three and two bytes, or for the last their levels."""
+        low = short_levels(two) if isinstance(two, tuple) else two
+        mid = _Level(*three, low[0], 3)
+        self.levels = [_Level(*four, mid, 4), mid, *low]
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        """log10 probability of each five-byte event, by escape method D with symbol exclusion."""
+        codes = codes.astype(np.int64)
+        p, weight, out = np.ones(len(codes)), np.ones(len(codes)), np.zeros(len(codes), bool)
+        left_n = left_d = np.zeros(len(codes), np.int64)
+        longer = np.zeros(len(codes), bool)
+        for level in self.levels:
+            event = codes & level.mask
+            at, there = _find(level.contexts, event >> 8)
+            place, hit = _find(level.events, event)
+            if len(level.contexts):
+                n, d = np.where(longer, left_n, level.n[at]), np.where(longer, left_d, level.d[at])
+                whole = np.where(there & (n > 0), 2.0 * n, 1.0)
+                new = hit & ~out
+                p = np.where(new, weight * (2.0 * level.counts[place] - 1) / whole, p)
+                out |= hit
+                weight = np.where(there & (n > 0), weight * d / whole, weight)
+                left_n, left_d = level.left_n[at], level.left_d[at]
+            longer = there
+        rest = max(1, 256 - len(self.levels[-1].events))
+        return np.log10(np.where(out, p, weight / rest))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
         code, starts, ends = _events(texts)
-        row = self.top.take((code >> np.uint64(8) & np.uint64(0xFFFF)).view(np.int64))
-        deep = np.ones(len(code), bool)
-        for shift in (24, 32):
-            nxt = self.child.reshape(-1).take(np.minimum(row, len(self.child) - 1).astype(np.int64) * 256 + (code >> np.uint64(shift) & np.uint64(255)).view(np.int64))
-            deep &= nxt >= 0
-            row = np.where(deep, nxt, row)
-        each = self.logs.reshape(-1).take(row.astype(np.int64) * 256 + (code & np.uint64(255)).view(np.int64))
-        bounds = np.stack([starts, np.minimum(ends, len(each))], 1).ravel()
-        return np.add.reduceat(np.append(each.astype(np.float64), 0.0), bounds)[::2]
-
-
-def _score(data):
-    """data: broadcast of (model, frequent hashes sorted, their counts)."""
-    rare_type = pa.struct([("h", pa.int64()), ("m", pa.int32())])
+        return _sums(self.logs(code), starts, ends)
+
+
+def _sums(each: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    bounds = np.stack([starts, np.minimum(ends, len(each))], 1).ravel()
+    return np.add.reduceat(np.append(each.astype(np.float64), 0.0), bounds)[::2]
+
+
+#: A bucket is some bits of the last three context bytes times this number, in Spark and in numpy alike.
+SPREAD = 2654435761
+
+
+def _buckets(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((codes.astype(np.int64) >> 8 & 0xFFFFFF) * SPREAD >> 12 & 0xFFFFF) % buckets
+
+
+def _bytes_of(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def _asked(parts: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct events, the order in which they are asked for, their buckets in this order)."""
+    codes = np.unique(np.concatenate(parts))
+    where = _buckets(codes, buckets)
+    order = np.argsort(where, kind="stable")
+    return codes, order, where[order]
+
+
+def _distinct(batch: pa.RecordBatch) -> np.ndarray:
+    code, _, ends = _events(_bytes_of(batch.column(1).to_pylist()))
+    return pc.unique(pa.array(_real(code, ends))).to_numpy()
+
+
+def _ask(buckets: int):
+    """(doc_id, text) -> rows of (block, bucket, data): bucket -1 has packed texts, the others the events asked for."""
+    def rows(block, where, data):
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array(where, pa.int32()), pa.array(data, pa.binary())], ["block", "bucket", "data"])
+
+    def flush(block, held):
+        codes, order, where = _asked(held, buckets)
+        cuts = np.flatnonzero(np.diff(where)) + 1
+        parts = np.split(codes[order], cuts)
+        return rows(block, where[np.append(0, cuts)], [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T).tobytes() for x in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, counts = data.value
+        how = pa.ipc.IpcWriteOptions(compression="zstd")
+        block, size, held = TaskContext.get().partitionId() << 32, 0, []
+        for b in slices(batches, text=1):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=how) as w:
+                w.write_batch(b)
+            yield rows(block, [-1], [sink.getvalue().to_pybytes()])
+            held.append(_distinct(b))
+            size += (pc.sum(pc.binary_length(b.column(1))).as_py() or 0) + b.num_rows
+            if size > BLOCK:
+                yield flush(block, held)
+                block, size, held = block + 1, 0, []
+        if held:
+            yield flush(block, held)
+
+    return run
+
+
+def _answer(low):
+    """low: broadcast of the short levels. (events of a bucket with counts, what blocks ask of it) -> log probabilities."""
+
+    def run(events: pa.Table, asks: pa.Table) -> pa.Table:
+        c5, n5 = events.column("code").to_numpy(), events.column("n").to_numpy()
+        model = PpmModel((c5, n5), np.unique(c5 & 0xFFFFFFFF, return_counts=True), low.value) if asks.num_rows else None
+        logs = []
+        for x in asks.column("data").to_pylist():
+            codes = np.zeros((len(x) // (ORDER + 1), 8), np.uint8)
+            codes[:, : ORDER + 1] = np.frombuffer(x, np.uint8).reshape(ORDER + 1, -1).T
+            logs.append(model.logs(codes.view("<i8").ravel()).astype(np.float32).tobytes())
+        out = pa.table([asks.column("block"), asks.column("bucket"), pa.array(logs, pa.binary())], ["block", "bucket", "logs"])
+        trim()
+        return out
+
+    return run
+
+
+def _score(data, buckets: int):
+    """data: broadcast of (frequent hashes sorted, their counts). (packed texts of a block, answers to it) -> rows."""
+    rare_type = pa.struct([("h", pa.int64()), ("m", pa.int32())])
+
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        known, counts = data.value
         logs, hashes = np.log10(counts + 1.0), WordHashes()
         end = hashes[END_WORD]
-        for b in slices(batches, text=1):
+        read = lambda: (pa.ipc.open_stream(x).read_next_batch() for x in packed.column("data").to_pylist())
+        events, order, _ = _asked([_distinct(b) for b in read()], buckets)
+        told = answers.sort_by("bucket").column("logs").to_pylist()
+        likely = np.empty(len(events), np.float32)
+        likely[order] = np.frombuffer(b"".join(told), np.float32)
+        done = []
+        for b in read():
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            code, starts, ends = _events(_bytes_of(texts))
+            coded = pa.array(code).dictionary_encode()
+            # codes between texts are no events and were not asked for; _sums leaves their places out
+            each = likely[_find(events, coded.dictionary.to_numpy())[0]][coded.indices.to_numpy()]
             total, sums, got, rare_h, rare_m, stops = [], [], [], [], [], [0]
             for t in texts:
                 w = hashes.of(ascii_words(t))
                 total.append(len(w) + 1)
                 h, m = np.unique(np.append(w, np.uint64(end)), return_counts=True)
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-                sums.append(float((logs[at[hit]] * m[hit]).sum()) if len(known) else 0.0)
+                at, hit = _find(known, h)
+                sums.append(float((logs[at[hit]] * m[hit]).sum()))
                 got.append(int(m[hit].sum()))
                 rare_h.append(h[~hit])
                 rare_m.append(m[~hit])
                 stops.append(stops[-1] + len(rare_h[-1]))
             rare = pa.StructArray.from_arrays([pa.array(np.concatenate(rare_h).view(np.int64)), pa.array(np.concatenate(rare_m).astype(np.int32))], fields=list(rare_type))
             out = [b.column(0), pa.array([held_out(i) for i in ids]), pa.array(total, pa.int64()), pa.array(sums, pa.float64()), pa.array(got, pa.int64())]
-            out += [pa.array(model.scores([t.encode("utf-8", "surrogatepass") for t in texts])), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rare)]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "sum_known", "n_found", "score", "rare"])
+            out += [pa.array(_sums(each, starts, ends)), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rare)]
+            done.append(pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "sum_known", "n_found", "score", "rare"]))
+        trim()
+        return pa.Table.from_batches(done)
 
     return run
 
@@ -216,24 +328,25 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     words, grams = counted.where("kind = 0").select("code", "n"), counted.where("kind = 1").select("code", "n")
     n_all, vocabulary, n_events = counted.agg(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.count(F.when(F.col("kind") == 0, 1)), F.sum(F.when(F.col("kind") == 1, F.col("n")))).first()
     n_all, n_events = n_all or 0, n_events or 0
-    # at most 1 / FLOOR contexts of 256 symbols at each depth; at most 256 ** 3 three-byte codes; at most 1 / FREQUENT words
-    short = stash(grams.groupBy(F.col("code").bitwiseAND(0xFFFFFFFF).alias("code")).agg(F.count("*").alias("n"), F.sum("n").alias("seen")))
-
-    def kept(events: DataFrame, seen: str) -> tuple[np.ndarray, np.ndarray]:
-        ctx = events.groupBy(F.shiftright("code", 8).alias("ctx")).agg(F.sum(seen).alias("of")).where(F.col("of") >= n_events * FLOOR)
-        return arrays(events.join(ctx, F.shiftright("code", 8) == F.col("ctx")))
-
-    def arrays(events: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = events.select("code", "n").toPandas()
-        return got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-
-    model = PpmModel(kept(grams, "n"), kept(short, "seen"), arrays(short.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.count("*").alias("n"))))
+    # at most 256 ** 3 three-byte codes; at most 1 / FREQUENT words
+    short = grams.select(F.col("code").bitwiseAND(0xFFFFFFFF).alias("code")).distinct()
+    two = short.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("code")).agg(F.count("*").alias("n")).toPandas()
+    low = spark.sparkContext.broadcast(short_levels((two["code"].to_numpy(np.int64), two["n"].to_numpy(np.int64))))
     often = words.where(F.col("n") >= n_all * FREQUENT).toPandas()
     known = often["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
-    data = spark.sparkContext.broadcast((model, known[order], often["n"].to_numpy(np.int64)[order]))
+    data = spark.sparkContext.broadcast((known[order], often["n"].to_numpy(np.int64)[order]))
+    free_shuffles(spark)
+    buckets = 1 << max(6, (n_events // BUCKET_EVENTS).bit_length())
+    asked = stash(rows.mapInArrow(lean(_ask(buckets)), "block long, bucket int, data binary"))
+    place = F.pmod(F.shiftright(F.shiftright("code", 8).bitwiseAND(0xFFFFFF) * F.lit(SPREAD), 12).bitwiseAND(0xFFFFF), F.lit(buckets)).cast("int")
+    events = grams.select(place.alias("bucket"), "code", "n").groupBy("bucket")
+    answers = events.cogroup(asked.where("bucket >= 0").groupBy("bucket")).applyInArrow(_answer(low), "block long, bucket int, logs binary")
+    texts = asked.where("bucket < 0").groupBy("block")
+    scored = texts.cogroup(answers.groupBy("block")).applyInArrow(_score(data, buckets), "doc_id long, held_out boolean, n_tokens long, sum_known double, n_found long, score double, rare array<struct<h:long,m:int>>")
+    scored = stash(scored.withColumn("row", F.monotonically_increasing_id()))
+    drop_stash(asked)
     free_shuffles(spark)
-    scored = stash(rows.mapInArrow(lean(_score(data)), "doc_id long, held_out boolean, n_tokens long, sum_known double, n_found long, score double, rare array<struct<h:long,m:int>>").withColumn("row", F.monotonically_increasing_id()))
     met = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.h").alias("code"), F.col("r.m").alias("m")).join(words.where(F.col("n") < n_all * FREQUENT), "code")
     late = met.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("s"), F.sum("m").cast("long").alias("k"))
     out = scored.drop("rare").join(late, "row", "left")

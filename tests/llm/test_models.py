@@ -182,3 +182,42 @@ def test_components(spark, seed):
 def test_op3_block_keeps_ties():
     q, c = np.array([[1, 2]], np.int32), np.array([[3, 3, 1, 3], [0, 0, 1, 0]], np.int32)
     assert search_block(np.array([9]), q, np.array([4, 2, 7, 3]), c, 2) == [(9, 2, 3), (9, 3, 3)]
+
+
+def test_ppm_keeps_rare_contexts(spark):
+    """Against dictionaries of counts, over more events than 2 ** 16 and contexts that occur once or never."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9), p=[0.4, 0.3, 0.15, 0.1, 0.04, 0.01])) for _ in range(120))) for i in range(300)] + [(300, None), (None, "xyz abc"), (7, "abcab")]
+    coded = lambda t: b"\xff" * 4 + (t or "").encode() + b"\xff"
+    deep: dict[bytes, dict[int, int]] = {}
+    for i, t in rows:
+        if not held_out(i):
+            c = coded(t)
+            for k in range(4, len(c)):
+                at = deep.setdefault(c[k - 4 : k], {})
+                at[c[k]] = at.get(c[k], 0) + 1
+    levels = [deep]
+    for _ in range(4):
+        low: dict[bytes, dict[int, int]] = {}
+        for ctx, symbols in levels[-1].items():
+            at = low.setdefault(ctx[1:], {})
+            for x in symbols:
+                at[x] = at.get(x, 0) + 1
+        levels.append(low)
+
+    def log(c):
+        total = 0.0
+        for k in range(4, len(c)):
+            tables = np.zeros((5, 1, 256))
+            for j, level in enumerate(levels):
+                for x, n in level.get(c[k - 4 + j : k], {}).items():
+                    tables[j, 0, x] = n
+            total += np.log10(context_table(list(tables))[0, c[k]])
+        return total
+
+    picked = rows[:20] + rows[-3:]
+    want = sorted(log(coded(t)) for _, t in picked)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r.score for r in score_documents(df).collect() if r.doc_id is None or r.doc_id < 20 or r.doc_id == 300]
+    assert sum(len(coded(t)) for _, t in rows) > 1 << 16
+    assert sorted(got) == pytest.approx(want, rel=1e-5)
