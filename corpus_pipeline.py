@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each text of the mix."""
     ship(spark)
-    return encode_pieces(docs, verify_every=4)
+    return encode_pieces(docs, verify_every=1)
 
 
 STAGES = [("language_id", language), ("ngram_join", near_duplicates), ("secret_scan", secrets), ("mixing", mixture), ("sentencepiece", pieces)]

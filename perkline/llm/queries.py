@@ -41,7 +41,7 @@ def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(_table(spark, sf_dir, "documents"), verify_every=4, keep_ids=False)
+    return encode_pieces(_table(spark, sf_dir, "documents"), verify_every=1, keep_ids=False)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

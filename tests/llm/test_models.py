@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from perkline.llm.common import ascii_words, shingle_set, WordHashes
 from perkline.llm.fingerprint import MOST, bucket_counts, fingerprint, likeness
 from perkline.llm.language_id import document_fields, fit_text_model, identify, page_fields, visible_text
@@ -221,3 +222,10 @@ def test_ppm_keeps_rare_contexts(spark):
     got = [r.score for r in score_documents(df).collect() if r.doc_id is None or r.doc_id < 20 or r.doc_id == 300]
     assert sum(len(coded(t)) for _, t in rows) > 1 << 16
     assert sorted(got) == pytest.approx(want, rel=1e-5)
+
+
+def test_op5_checks_every_row(spark, sf_dir):
+    assert QUERIES["op5_sentencepiece"](spark, sf_dir).where("parity is null or not parity").count() == 0
+    rows = [(i, f"text {i} of some words", "a") for i in range(40)] + [(None, "no id", "a"), (3, "another text", "a")]
+    coded = corpus_pipeline.pieces(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf_dir)
+    assert coded.count() == 42 and coded.where("parity is null or not parity").count() == 0
