@@ -97,6 +97,12 @@ def stash(df: DataFrame) -> DataFrame:
     return out
 
 
+def keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df`, stashed with a number for each row, and the name of that column: ids may be null or repeat, rows do not."""
+    row = fresh(df, "_row")
+    return stash(df.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import fresh, lean, slices, small_side, stash
+from perkline.llm.common import fresh, keyed, lean, slices, small_side, stash
 
 # Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -150,11 +150,12 @@ def _redact(text: int, mark: str):
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """`docs` with every span that is live, or of a fixed kind, replaced by `mark`; all rows and columns stay, and
-    `n_chars` follows the text where there is such a column. Rows that share a doc_id should share their text."""
-    key, cuts = fresh(docs, "_key"), fresh(docs, "_cuts")
-    found = scan_secrets(docs, doc=doc, text=text, **how).where(F.size("found") > 0)
-    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.first(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).alias(cuts))
+    `n_chars` follows the text where there is such a column. Each row is cut at its own spans, whatever its id."""
+    rows, row = keyed(docs)
+    key, cuts = fresh(rows, "_key"), fresh(rows, "_cuts")
+    found = scan_secrets(rows, doc=row, text=text, **{"repo": doc} | how).where(F.size("found") > 0)
+    found = found.select(F.col("doc_id").alias(key), F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(cuts))
     found = small_side(found, 50_000)
-    both = docs.join(found, docs[doc].cast("long") == found[key], "left").select(*[docs[c] for c in docs.columns], found[cuts])
+    both = rows.join(found, rows[row] == found[key], "left").select(*[rows[c] for c in docs.columns], found[cuts])
     out = both.mapInArrow(lean(_redact(docs.columns.index(text), mark)), docs.schema)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out

@@ -64,3 +64,10 @@ def test_stages_take_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
     assert mixed_documents(df).where(F.col("text") == "").count() == 0
+
+
+def test_each_row_is_cut_at_its_own_secrets(spark):
+    """Null and repeated ids."""
+    rows = [(None, "see password=hunter2222x now", "a"), (None, "plain text without any", "a"), (1, "token=abcdefgh12 at the start", "a"), (1, "harmless words that stay as they are", "b"), (1, "late in the text: secret=zyxwvut987", "b")]
+    got = sorted(r.text for r in redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)).collect())
+    assert got == sorted(["see [secret] now", "plain text without any", "[secret] at the start", "harmless words that stay as they are", "late in the text: [secret]"])
