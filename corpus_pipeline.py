@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkline.llm.common import fresh, ship, small_side, stash
+from perkline.llm.common import fresh, keyed, ship, small_side, stash
 from perkline.llm.language_id import document_fields, fit_text_model, identify
 from perkline.llm.mixing import mixed_documents
 from perkline.llm.ngram_join import keep_one
@@ -14,11 +14,12 @@ from perkline.llm.secret_scan import redact_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language explains go."""
+    """Documents that no language explains go, each row by its own text."""
     ship(spark)
-    gone = fresh(docs, "_gone")
-    told = small_side(identify(document_fields(docs), fit_text_model(docs)).where("rejected").select(F.col("id").alias(gone)).distinct())
-    return docs.join(told, docs["doc_id"] == told[gone], "left_anti")
+    rows, row = keyed(docs)
+    gone = fresh(rows, "_gone")
+    told = small_side(identify(document_fields(rows, doc=row), fit_text_model(docs)).where("rejected").select(F.col("id").alias(gone)))
+    return rows.join(told, rows[row] == told[gone], "left_anti").select(*[rows[c] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, fresh, lean, lean_group, mix64, shingle_set, slices, small_side, stash
+from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, fresh, keyed, lean, lean_group, mix64, shingle_set, slices, small_side, stash
 
 #: Longest list that gives all pairs; entries of a bucket aimed at; entries that a task holds before it sends them.
 SHORT, BUCKET_ENTRIES, HOLD = 8, 1_000_000, 1_000_000
@@ -608,7 +608,12 @@ def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the documents that are linked to one with a smaller id; rows that repeat an id stay together."""
-    gone = fresh(docs, "_gone")
-    rest = small_side(join_ngrams(docs, doc, text).where("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct())
-    return docs.join(rest, docs[doc].cast("long") == rest[gone], "left_anti")
+    """`docs` with one row of each group of linked rows: that with the smallest id (null ids last, then by place). Rows
+    are joined as rows, so those that repeat an id, or have none, are copies or different texts by what they hold."""
+    rows, row = keyed(docs)
+    own, gone = fresh(rows, "_own"), fresh(rows, "_gone")
+    ids = rows.select(F.col(row).alias("key"), F.col(doc).cast("long").alias("id"))
+    told = stash(join_ngrams(rows, row, text).select(F.col("doc_id").alias("key"), "component_id").join(ids, "key"))
+    first = told.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias(own))
+    rest = small_side(told.join(first.select(F.col(own)["key"].alias("key")), "key", "left_anti").select(F.col("key").alias(gone)))
+    return rows.join(rest, rows[row] == rest[gone], "left_anti").select(*[rows[c] for c in docs.columns])
