@@ -12,8 +12,8 @@ that holds a source: documents fall into BUCKETS ranges of the md5, sums of the
 window runs within (source, range) alone.
 
 Defined results: null text has size 0; size 0 is never taken; the null source is a source of its own, last in order;
-rows that repeat a doc_id are queued one by one, and the mixed table takes each as often as the most served of them;
-an empty table gives an empty result; a null doc_id is shuffled as the text "null"; other columns are ignored.
+rows that repeat a doc_id are queued one by one, and the mixed table takes each as often as it is served itself; an
+empty table gives an empty result; a null doc_id is shuffled as the text "null"; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perkline.llm.common import fresh, stash
+from perkline.llm.common import fresh, keyed, stash
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Ranges of the shuffle order: three hex digits.
@@ -57,44 +57,48 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix", doc: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and finish (its first virtual finish time).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix", doc: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and finish (its first virtual finish time), with
+    the column `row` of row numbers where one is named; it also breaks the last ties of the order.
 
     See the module's text for method and defined results."""
     order = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc).cast("string"), F.lit("null"))).cast("binary"))
-    sizes = stash(docs.select(F.col(doc).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), order.alias("ord")))
+    sizes = stash(docs.select(F.col(doc).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), order.alias("ord"), *([F.col(row)] if row else [])))
     sizes = sizes.withColumn("bucket", F.substring("ord", 1, DIGITS))
     targets = source_targets(sizes, weights, share, epochs)
     ranges = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)).alias("offset"))
     offsets = offsets.join(targets.withColumnRenamed("source", "ts"), F.col("s").eqNullSafe(F.col("ts"))).drop("ts")
-    inside = Window.partitionBy("source", "bucket").orderBy("ord", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("ord", F.col("doc_id").asc_nulls_first(), "size", *([row] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(offsets, placed.source.eqNullSafe(offsets.s) & (placed.bucket == offsets.b)).withColumn("first", F.col("offset") + F.col("ahead"))
     taken = F.lit(0).cast("long")
     for e in range(epochs):
         start = F.col("first") + e * F.col("source_size")
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target")) - start)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("target") > 0, (F.col("first") + F.col("size")) / F.col("target")).alias("finish"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("target") > 0, (F.col("first") + F.col("size")) / F.col("target")).alias("finish"), *([row] if row else []))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of `docs`: a document appears once for each time it is served in whole, and
     once more, cut to the words served, where the budget ends within it; ordered by virtual finish time through a
     range partitioning. `n_chars` follows the text where there is such a column."""
-    text, doc = how.get("text", "text"), how.get("doc", "doc_id")
-    key, size, served, part, at = (fresh(docs, n) for n in ("_key", "_size", "_served", "_part", "_at"))
-    plan = mix(docs, **how).where(F.col("taken") > 0)
-    plan = plan.groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias(size), F.max("taken").alias(served), F.min("finish").alias(at))
-    both = docs.join(plan, docs[doc].eqNullSafe(plan[key]))
+    text = how.get("text", "text")
+    rows, row = keyed(docs)
+    key, size, served, part, at, lap = (fresh(rows, n) for n in ("_key", "_size", "_served", "_part", "_at", "_lap"))
+    plan = mix(rows, row=row, **how).where(F.col("taken") > 0)
+    # a source comes to the same document again after all its words
+    again = F.col("source_size") / F.col("target")
+    plan = plan.select(F.col(row).alias(key), F.col("size").alias(size), F.col("taken").alias(served), F.col("finish").alias(at), again.alias(lap))
+    both = rows.join(plan, rows[row] == plan[key])
     whole, rest = F.floor(F.col(served) / F.col(size)).cast("int"), (F.col(served) % F.col(size)).cast("int")
     # pieces of one word and the space behind it; the first may be leading space alone
     pieces = F.split(F.col(text), rf"(?<={SPACE})(?=[^\x20\x09-\x0D])")
     leads = F.when(F.ascii(text).isin(32, 9, 10, 11, 12, 13), 1).otherwise(0)
     cut = F.array_join(F.slice(pieces, F.lit(1), rest + leads), "")
     times = F.filter(F.sequence(F.lit(0), whole), lambda i: (i < whole) | (rest > 0))
-    both = both.withColumn(part, F.explode(times)).withColumn(at, F.col(at) + F.col(part))
+    both = both.withColumn(part, F.explode(times)).withColumn(at, F.col(at) + F.col(part) * F.col(lap))
     both = both.withColumn(text, F.when(F.col(part) < whole, F.col(text)).otherwise(cut))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length(text).cast("long"))
