@@ -5,12 +5,12 @@ is one row of work: the blocks meet by an equi-join on block numbers, so no vect
 pair of blocks the candidates lie in vertical layout (one contiguous array for each dimension). For a query the
 dimensions are visited by falling weight, DIMS at a time; after each such block a candidate survives only if its score
 so far plus the largest value the remaining dimensions can add (Cauchy-Schwarz on the remaining mass of both vectors)
-reaches the k-th best score known; the arrays are compacted to the survivors. All sums are whole numbers, so results
+reaches the k-th best score known of distinct ids; the arrays are compacted to the survivors. All sums are whole numbers, so results
 are exact and ties go to the smaller id. The first threshold comes from a small head of the block, scored in full.
 
 Defined results: vectors that are null, empty, hold null or non-finite components, or whose length differs from the
 query's are left out (they neither ask nor answer); a null id is left out; a query's own row (same id, so also a
-repeated row of it) is no answer; repeated rows of another id answer once; fewer than k candidates give fewer rows; an
+repeated row of it) is no answer; repeated rows of another id answer once, by their best score; fewer than k candidates give fewer rows; an
 empty table gives none. Scores are exact while they fit in 64 bits.
 """
 
@@ -55,6 +55,15 @@ def _pack(group: str):
     return run
 
 
+def _kth(ids: np.ndarray, values: np.ndarray, k: int, unique: bool) -> float:
+    """The k-th best value over distinct ids, each by its best row; without so many ids, minus infinity."""
+    if not unique:
+        order = np.lexsort((values, ids))
+        ids, values = ids[order], values[order]
+        values = values[np.append(ids[1:] != ids[:-1], True)] if len(ids) else values
+    return np.partition(values, -k)[-k] if len(values) >= k else -np.inf
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query id, candidate id, score): the k best of this block for each query. q: rows; c: vertical, dim x n."""
     dim, n = c.shape
@@ -65,15 +74,15 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             out += _best(q_ids[row], c_ids[alive], (q[row] @ c)[alive], k)
         return out
     c = c.astype(np.float64)
-    head = min(n, HEAD)
+    head, unique = min(n, HEAD), len(np.unique(c_ids)) == n
     first = q.astype(np.float64) @ c[:, :head]
     sq = c * c
     for row in range(len(q_ids)):
         own = q[row].astype(np.float64)
         order = np.argsort(-np.abs(own), kind="stable")
         mass = np.sqrt(np.cumsum((own[order] ** 2)[::-1])[::-1])
-        seen = first[row][c_ids[:head] != q_ids[row]]
-        bar = np.partition(seen, -k)[-k] if len(seen) >= k else -np.inf
+        others = c_ids[:head] != q_ids[row]
+        bar = _kth(c_ids[:head][others], first[row][others], k, unique)
         alive, acc, rest = np.flatnonzero(c_ids != q_ids[row]), np.zeros(n), sq.sum(0)
         acc, rest = acc[alive], rest[alive]
         for at in range(0, dim, DIMS):
@@ -89,7 +98,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
                     alive, acc, rest = alive[stay], acc[stay], rest[stay]
             if len(alive) > 4 * k and at:  # scores so far, less what can still be lost, raise the bar
                 low = acc - mass[at + DIMS] * np.sqrt(np.maximum(rest, 0))
-                bar = max(bar, np.partition(low, -k)[-k])
+                bar = max(bar, _kth(c_ids[alive], low, k, unique))
         out += _best(q_ids[row], c_ids[alive], acc, k)
     return out
 
@@ -136,6 +145,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     c = c.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     met = c.join(q, ["qblock", "dim", "salt"]).select("dim", "ids", "columns", "q_ids", "q_columns")
-    found = met.mapInArrow(lean(_search(k)), "query_id long, vec_id long, score long").distinct()
+    found = met.mapInArrow(lean(_search(k)), "query_id long, vec_id long, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
