@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import hashlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,18 +16,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows taken from an Arrow batch at a time, and the text bytes that end such a slice earlier.
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
-_TABLES: list[tuple[SparkSession, str]] = []
+#: Stashed tables: their session, folder, and a weak reference to the plan's file listing.
+_TABLES: list[tuple[SparkSession, str, object]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where that is unset and all tasks
+    run in this process (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not hasattr(scratch_root, "own"):
             scratch_root.own = "file://" + tempfile.mkdtemp(prefix="perkline-")
         root = scratch_root.own
@@ -87,20 +93,79 @@ def ship(spark: SparkSession) -> None:
 
 def stash(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet to the shared scratch folder and return a frame over the files: lineage ends here,
-    so a lost executor costs a re-read and not a re-run of what came before."""
+    so a lost executor costs a re-read and not a re-run of what came before. The files go when no frame reads them."""
     spark = df.sparkSession
+    sweep()
     path = f"{scratch_root(spark)}/perkline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
+    listing = out._jdf.queryExecution().analyzed().relation().location()
+    _TABLES.append((spark, path, spark._jvm.java.lang.ref.WeakReference(listing)))
     out._scratch = path
     return out
 
 
+def sweep() -> None:
+    """Delete the stashed tables that no plan refers to any more (every frame over a table shares its file listing)."""
+    for x in list(_TABLES):
+        try:
+            if x[2].refersTo(None):
+                _remove(x[0], x[1])
+                _TABLES.remove(x)
+        except Exception:  # a session that has ended
+            _TABLES.remove(x)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def cols_of(names: list[str]) -> list:
+    """Columns by their names, whatever these hold."""
+    return [F.col(quoted(c)) for c in names]
+
+
+#: Plans through which a row of a file stays one row.
+_PLAIN = ("Project", "Filter", "SubqueryAlias", "LogicalRelation")
+
+
+def _row_places(df: DataFrame) -> tuple | None:
+    """(file, place in it) of the rows of a frame that comes straight from Parquet files; else None."""
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        kind = plan.getClass().getSimpleName()
+        if kind not in _PLAIN:
+            return None
+        if kind == "LogicalRelation":
+            break
+        plan = plan.children().head()
+    try:
+        meta = df.metadataColumn("_metadata")
+        df.select(meta["file_path"], meta["row_index"])
+    except AnalysisException:  # files of another kind
+        return None
+    return meta["file_path"], meta["row_index"]
+
+
 def keyed(df: DataFrame) -> tuple[DataFrame, str]:
-    """`df`, stashed with a number for each row, and the name of that column: ids may be null or repeat, rows do not."""
+    """`df` with a number for each row, and the name of that column: ids may be null or repeat, rows do not.
+
+    Rows of Parquet files are numbered by a hash of their file's name over their place in it, which is the same in every
+    scan; a seed is chosen for which no two files share a hash. Other frames are stashed with numbers."""
     row = fresh(df, "_row")
-    return stash(df.withColumn(row, F.monotonically_increasing_id())), row
+    places = _row_places(df)
+    if not places:
+        return stash(df.withColumn(row, F.monotonically_increasing_id())), row
+    file, place = places
+    files = stash(df.select(file.alias("f"), place.alias("i")).groupBy("f").agg(F.max("i").alias("i")))
+    n, top = files.agg(F.count("*"), F.max("i")).first()
+    bits = max(1, int(top or 0).bit_length())
+    wide = min(63 - bits, 2 * n.bit_length() + 8)
+    head = lambda f, seed: F.xxhash64(f, F.lit(seed)).bitwiseAND((1 << wide) - 1)
+    seed = 0
+    while files.select(F.count_distinct(head(F.col("f"), seed))).first()[0] < n:
+        seed += 1
+    return df.select("*", F.shiftleft(head(file, seed), bits).bitwiseOR(place).alias(row)), row
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -144,7 +209,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 @atexit.register
 def _drop_all() -> None:
-    for spark, path in _TABLES:
+    for spark, path, _ in _TABLES:
         try:
             if spark.sparkContext._jsc is not None:
                 _remove(spark, path)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, fresh, keyed, lean, lean_group, mix64, shingle_set, slices, small_side, stash
+from perkline.llm.common import WordHashes, ascii_words, cols_of, drop_stash, free_shuffles, fresh, keyed, lean, lean_group, mix64, shingle_set, slices, small_side, stash
 
 #: Longest list that gives all pairs; entries of a bucket aimed at; entries that a task holds before it sends them.
 SHORT, BUCKET_ENTRIES, HOLD = 8, 1_000_000, 1_000_000
@@ -616,4 +616,4 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     told = stash(join_ngrams(rows, row, text).select(F.col("doc_id").alias("key"), "component_id").join(ids, "key"))
     first = told.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias(own))
     rest = small_side(told.join(first.select(F.col(own)["key"].alias("key")), "key", "left_anti").select(F.col("key").alias(gone)))
-    return rows.join(rest, rows[row] == rest[gone], "left_anti").select(*[rows[c] for c in docs.columns])
+    return rows.join(rest, F.col(row) == F.col(gone), "left_anti").select(*cols_of(docs.columns))

@@ -55,7 +55,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).drop("finish")
+    return mix(_table(spark, sf_dir, "documents"))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

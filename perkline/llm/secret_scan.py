@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import fresh, keyed, lean, slices, small_side, stash
+from perkline.llm.common import cols_of, fresh, keyed, lean, slices, small_side, stash
 
 # Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -156,6 +156,6 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", doc: str = "doc_id",
     found = scan_secrets(rows, doc=row, text=text, **{"repo": doc} | how).where(F.size("found") > 0)
     found = found.select(F.col("doc_id").alias(key), F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(cuts))
     found = small_side(found, 50_000)
-    both = rows.join(found, rows[row] == found[key], "left").select(*[rows[c] for c in docs.columns], found[cuts])
+    both = rows.join(found, F.col(row) == F.col(key), "left").select(*cols_of([*docs.columns, cuts]))
     out = both.mapInArrow(lean(_redact(docs.columns.index(text), mark)), docs.schema)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out

@@ -50,16 +50,19 @@ FROM f GROUP BY conv_id
 """
 
 OP8 = f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5('mix|' || doc_id) AS ord FROM documents),
-per AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5('mix|' || doc_id) AS ord FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, (CASE (n - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END)::DOUBLE AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM per),
 lv AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 o AS (SELECT level AS open FROM lv WHERE cap > level * weight ORDER BY cap / weight, n LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN (SELECT open FROM o) IS NULL THEN cap ELSE least(cap, (SELECT open FROM o) * weight) END AS target FROM lv),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-  (greatest(0, least(size, floor(target)::BIGINT - first)) + greatest(0, least(size, floor(target)::BIGINT - first - source_size)))::BIGINT AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+t AS (SELECT source, source_size, n, floor(budget)::BIGINT AS budget, CASE WHEN (SELECT open FROM o) IS NULL THEN cap ELSE least(cap, (SELECT open FROM o) * weight) END AS target FROM lv),
+p AS (SELECT d.*, source_size, n, target, budget, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+s AS (SELECT row, n, target, budget, first + lap * source_size AS a, first + lap * source_size + size AS b, floor(target)::BIGINT AS due FROM p, (VALUES (0), (1)) l(lap) WHERE size > 0),
+c AS (SELECT row, n, target, budget, list_sort(list_distinct([a, greatest(a, least(b, due)), greatest(a, least(b, due + 1)), b])) AS cuts FROM s),
+u AS (SELECT row, n, target, budget, unnest(cuts[1 : len(cuts) - 1]) AS x, unnest(cuts[2 : len(cuts)]) AS y FROM c),
+q AS (SELECT row, budget, y - x AS words, coalesce(sum(y - x) OVER (ORDER BY y / target, n, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM u),
+k AS (SELECT row, sum(least(words, budget - position)) AS taken, min(position) AS position FROM q WHERE position < budget GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, position FROM p LEFT JOIN k USING (row)
 """
 
 def _any_case(word: str) -> str:
