@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkline.llm.common import fresh, keyed, ship, small_side, stash
+from perkline.llm.common import cols_of, fresh, keyed, ship, small_side, stash
 from perkline.llm.language_id import document_fields, fit_text_model, identify
 from perkline.llm.mixing import mixed_documents
 from perkline.llm.ngram_join import keep_one
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = keyed(docs)
     gone = fresh(rows, "_gone")
     told = small_side(identify(document_fields(rows, doc=row), fit_text_model(docs)).where("rejected").select(F.col("id").alias(gone)))
-    return rows.join(told, rows[row] == told[gone], "left_anti").select(*[rows[c] for c in docs.columns])
+    return rows.join(told, F.col(row) == F.col(gone), "left_anti").select(*cols_of(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents appear as often as the mix takes them, in its order."""
+    """Sources at their target weights: documents appear as often as the mix serves them. Their order would not outlive
+    the table between two stages, so texts are not sorted by it."""
     return mixed_documents(docs)
 
 
