@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows taken from an Arrow batch at a time, and the text bytes that end such a slice earlier.
@@ -181,14 +181,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows up to which a table of ids (and little else) may be broadcast: about 10 MB.
+#: Rows (and items of arrays in them) up to which a table of ids and little else may be broadcast: about 10 MB.
 SMALL_ROWS = 300_000
 
 
-def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """`df`, stashed, and marked for broadcast if it was counted to have at most `rows` rows; else joined by shuffle."""
+def small_side(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """`df`, stashed, and marked for broadcast if its rows, and the items that `items` counts in each, were counted to
+    be SMALL_ROWS at most; else joined by shuffle."""
     kept = stash(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    n = kept.agg(F.count("*") + F.coalesce(F.sum(items if items is not None else F.lit(0)), F.lit(0))).first()[0]
+    return F.broadcast(kept) if n <= SMALL_ROWS else kept
+
+
+#: A key is heavy if it has more than this share of all rows, and so many rows; so there are at most 4096 of them.
+HEAVY_SHARE, HEAVY_ROWS = 1 / 4096, 1000
+
+
+def join_heavy(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """`rows` with the columns of `facts`, which has one row for each key, `weight` being the key's number of rows.
+
+    Heavy keys, which are few whatever the data, are broadcast, so their rows stay where they are; only the others meet
+    in a shuffle. Both sides are read twice: they should be stashed. Keys must not be null."""
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    least = max(HEAVY_ROWS, int(total * HEAVY_SHARE))
+    heavy = facts.where(F.col(weight) > least).drop(weight)
+    if heavy.isEmpty():
+        return rows.join(facts.drop(weight), on, how)
+    heavy = F.broadcast(stash(heavy))
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(rest.join(facts.where(F.col(weight) <= least).drop(weight), on, how))
 
 
 def drop_stash(df: DataFrame) -> None:

@@ -6,12 +6,15 @@ log P(L | row) = tempered text likelihood + declared language + prior of the hos
   of the id) of rows that carry a label. A further hypothesis `und` spreads its mass evenly over the bins: text that
   fits no language better than that, or that has no trigram, is rejected. Likelihoods count at most TEMPER trigrams'
   worth of evidence, as neighbouring trigrams are not independent.
-* declared: P(declared | L), from counts of declared codes against text evidence, smoothed.
+* declared: P(declared | L), from counts of declared codes against text evidence, smoothed. For plain documents a label
+  of the table may stand for it (the text model's sample is labelled by it too).
 * host: P(L | host) from grouped sums of text evidence over all rows, smoothed towards the address suffix, and that
   towards all rows (each level weighs as STRENGTH rows).
 
-All counts are sums over all rows with map-side combine; hosts meet their rows in an equi-join, whose hot keys Spark
-may split. Defined results: null or empty text, or text too short for a trigram: lang `und`, rejected; null html,
+What a row adds to these counts itself is taken out of them before they speak about it, so no row is its own witness.
+
+All counts are sums over all rows with map-side combine; hosts with a large share of all rows get their sums by
+broadcast, the others in a shuffle. Pages are cleaned in linear time, whatever tags they leave open. Defined results: null or empty text, or text too short for a trigram: lang `und`, rejected; null html,
 address, host or declared code: no such evidence; repeated rows count each; ties go to the language first in order; an
 empty table gives no rows; columns other than those named are ignored.
 """
@@ -27,19 +30,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import lean, slices, stash
+from perkline.llm.common import join_heavy, lean, slices, small_side, stash
 
 BINS, SAMPLE, TEMPER, STRENGTH, PIECE = 1 << 15, 4000, 400, 20.0, 1 << 20
 #: Prior odds of `und`, and how much worse than even a language may fit before it loses to `und` (nats a trigram).
 UND_PRIOR, UND_SLACK = 1e-4, 0.0
 _K = np.uint32(2654435761)
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]*>")
+_OPENER = re.compile(r"(?i)<(script|style)\b|<!--")
+_CLOSERS = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>"), "": re.compile("-->")}
+_TAG = re.compile(r"<[^>]*>")
 
 
 def visible_text(html: str | None) -> str:
-    """Text of a page without scripts, styles, comments and tags, entities resolved."""
-    return html_lib.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", html))) if html else ""
+    """Text of a page without scripts, styles, comments and tags, entities resolved. What is not closed stays."""
+    if not html:
+        return ""
+    kept, at, pos, unclosed = [], 0, 0, set()
+    while len(unclosed) < len(_CLOSERS) and (m := _OPENER.search(html, pos)):
+        kind, pos = (m[1] or "").lower(), m.end()
+        end = None if kind in unclosed else _CLOSERS[kind].search(html, pos)
+        if end:
+            kept.append(html[at : m.start()])
+            at = pos = end.end()
+        else:  # nor will a later one of this kind be closed
+            unclosed.add(kind)
+    text = " ".join([*kept, html[at:]])
+    last = text.rfind(">") + 1  # behind it, no tag ends
+    return html_lib.unescape(_TAG.sub(" ", text[:last]) + text[last:])
 
 
 def trigram_bins(text: str) -> np.ndarray:
@@ -101,14 +118,15 @@ def _evidence(data):
         model = data.value
         empty = np.array([0.0] * (len(model.langs) + 1))
         for b in slices(batches, text=0):
-            lls, any_text = [], []
+            lls, votes, any_text = [], [], []
             for t, markup in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ll = model.evidence(visible_text(t) if markup else t or "")
                 any_text.append(ll is not None)
                 lls.append(empty if ll is None else ll)
-            flat = np.concatenate(lls)
-            w = len(empty)
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(any_text), pa.ListArray.from_arrays(pa.array(np.arange(len(lls) + 1, dtype=np.int32) * w), pa.array(flat))], [*b.schema.names[2:], "any_text", "ll"])
+                votes.append(empty if ll is None else np.exp(ll) / np.exp(ll).sum())
+            ends = pa.array(np.arange(len(lls) + 1, dtype=np.int32) * len(empty))
+            told = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (lls, votes)]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(any_text), *told], [*b.schema.names[2:], "any_text", "ll", "vote"])
 
     return run
 
@@ -116,7 +134,8 @@ def _evidence(data):
 def page_fields(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """id, text (the html), markup, declared, host, suffix of web pages."""
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    declared = F.lower(F.regexp_extract(F.col(html), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2})""", 1))
+    tag = F.regexp_extract(F.col(html), r"(?i)<html\b([^>]*)", 1)
+    declared = F.lower(F.regexp_extract(tag, r"""(?i)[\s"'](?:xml:)?lang\s*=\s*["']?([a-z]{2})""", 1))
     return pages.select(F.col(page).cast("long").alias("id"), F.col(html).cast("string").alias("text"), F.lit(True).alias("markup"), declared.alias("declared"), host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"))
 
 
@@ -133,34 +152,34 @@ def identify(fields: DataFrame, model: TextModel) -> DataFrame:
     kinds = range(len(langs))
     code = F.when(F.rlike("declared", F.lit("^[a-z]{2}$")), F.col("declared")).otherwise("")
     cols = fields.select("text", "markup", "id", "markup", code.alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix")).toDF("text", "m", "id", "markup", "declared", "host", "suffix")
-    told = stash(cols.mapInArrow(lean(_evidence(data)), "id long, markup boolean, declared string, host string, suffix string, any_text boolean, ll array<double>"))
-    soft = lambda i: F.when(F.col("any_text"), F.exp(F.col("ll")[i]) / sum(F.exp(F.col("ll")[j]) for j in kinds)).otherwise(0.0)
-    votes = told.select("declared", "host", "suffix", *[soft(i).alias(f"v{i}") for i in kinds])
-    sums = [F.sum(f"v{i}").alias(f"v{i}") for i in kinds]
-    hosts = votes.groupBy("host", "suffix").agg(*sums)
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"v{i}").alias(f"s{i}") for i in kinds])
-    whole = votes.groupBy("declared").agg(*sums).collect()  # at most 677 two-letter codes
-    matrix = {r["declared"]: np.array([r[f"v{i}"] or 0.0 for i in kinds]) for r in whole}
-    total = sum(matrix.values()) + 1.0 if matrix else np.ones(len(langs))
-    prior = total / total.sum()
-    # hierarchy: all rows -> suffix -> host
-    level = hosts.join(suffixes, "suffix")
-    n_s, n_h = sum(F.col(f"s{i}") for i in kinds), sum(F.col(f"v{i}") for i in kinds)
-    at_suffix = [(F.col(f"s{i}") + STRENGTH * float(prior[i])) / (n_s + STRENGTH) for i in kinds]
-    level = level.select("host", "suffix", F.array(*[F.log((F.col(f"v{i}") + STRENGTH * at_suffix[i]) / (n_h + STRENGTH)) for i in kinds]).alias("prior"))
-    # P(declared | L), one row per code
-    said = {}
-    for d in matrix:
-        if d:
-            said[d] = [float(x) for x in np.log((matrix[d] + 0.5) / (sum(v for k, v in matrix.items() if k) + 0.5 * len(matrix)))]
-    by_code = spark.createDataFrame([(d, v) for d, v in said.items()], "declared string, said array<double>")
-    none = F.array(*[F.lit(0.0)] * len(langs))
-    both = told.join(level, ["host", "suffix"]).join(F.broadcast(by_code), "declared", "left").withColumn("said", F.coalesce("said", none))
-    post = [F.col("ll")[i] + F.col("said")[i] + F.col("prior")[i] + (float(np.log(UND_PRIOR)) if i == len(langs) - 1 else 0.0) for i in kinds]
-    out = both.withColumn("post", F.array(*post)).withColumn("best", F.array_max("post"))
+    told = stash(cols.mapInArrow(lean(_evidence(data)), "id long, markup boolean, declared string, host string, suffix string, any_text boolean, ll array<double>, vote array<double>"))
+    sums = [F.sum(F.col("vote")[i]).alias(f"v{i}") for i in kinds]
+    hosts = stash(told.groupBy("host", "suffix").agg(F.count("*").alias("rows"), *sums))
+    packed = lambda x: F.array(*[F.col(f"{x}{i}") for i in kinds])
+    suffixes = small_side(hosts.groupBy("suffix").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in kinds]).select("suffix", packed("v").alias("at_suffix")), F.size("at_suffix"))
+    level = stash(hosts.select("host", "suffix", "rows", packed("v").alias("at_host")).join(suffixes, "suffix"))
+    whole = told.groupBy("declared").agg(*sums).collect()  # at most 677 two-letter codes
+    matrix = {r["declared"]: [float(r[f"v{i}"] or 0.0) for i in kinds] for r in whole}
+    total = [sum(v[i] for v in matrix.values()) for i in kinds]
+    with_code = [sum(v[i] for d, v in matrix.items() if d) for i in kinds]
+    by_code = F.broadcast(spark.createDataFrame([(d, v) for d, v in matrix.items() if d], "declared string, said array<double>"))
+    both = join_heavy(told, level, ["host", "suffix"], "rows").join(by_code, "declared", "left")
+    # hierarchy without the row itself: all rows -> suffix -> host
+    index, one = F.sequence(F.lit(0), F.lit(len(langs) - 1)), F.col("any_text").cast("double")
+    fixed = lambda values: F.array(*[F.lit(float(x)) for x in values])
+    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    others = lambda c, i: F.greatest(F.lit(0.0), F.get(c, i) - F.get(F.col("vote"), i))
+    weigh = lambda c, n, above, s: F.transform(index, lambda i: (others(c, i) + s * above(i)) / (F.greatest(F.lit(0.0), n - one) + s))
+    both = both.withColumn("prior", weigh(fixed(total), F.lit(float(sum(total))), lambda i: F.lit(1.0 / len(langs)), float(len(langs))))
+    for c in ("at_suffix", "at_host"):
+        both = both.withColumn("n", summed(F.col(c))).withColumn("prior", weigh(F.col(c), F.col("n"), lambda i: F.get(F.col("prior"), i), STRENGTH))
+    codes = 0.5 * sum(1 for d in matrix if d)
+    said = lambda i: F.when(F.col("said").isNull(), 0.0).otherwise(F.log((others(F.col("said"), i) + 0.5) / (others(fixed(with_code), i) + codes)))
+    und = lambda i: F.when(i == len(langs) - 1, float(np.log(UND_PRIOR))).otherwise(0.0)
+    out = both.withColumn("post", F.transform(index, lambda i: F.get(F.col("ll"), i) + said(i) + F.log(F.get(F.col("prior"), i)) + und(i)))
     names: Column = F.array(*[F.lit(x) for x in langs])
     pick = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     lang = F.when(F.col("any_text"), pick(F.col("post"))).otherwise("und")
-    share = F.when(F.col("any_text"), 1.0 / sum(F.exp(F.col("post")[i] - F.col("best")) for i in kinds)).otherwise(0.0)
+    share = F.when(F.col("any_text"), 1.0 / summed(F.transform("post", lambda x: F.exp(x - F.array_max("post"))))).otherwise(0.0)
     out = out.select("id", "markup", lang.alias("lang"), share.alias("probability"), F.when(F.col("any_text"), pick(F.col("ll"))).otherwise("und").alias("text_lang"), "declared", "host")
     return out.withColumn("rejected", F.col("lang") == "und")

@@ -3,7 +3,8 @@
 Every template (short phrases and longer notices) is cut into word k-grams: k = 2 for phrases, k = 4 for notices. All
 rolling k-grams of every whole text are hashed; a k-gram whose low hash bits no template has is left out at once, as a
 runtime filter of the join would do. The rest is joined by Spark to the template positions. Each match votes for its
-diagonal (place in the document less place in the template); votes are counted by (document, template, diagonal),
+diagonal (place in the document less place in the template), if the words behind the two hashes are the same, which
+verifies every place that a span will claim; votes are counted by (document, template, diagonal),
 diagonals closer than the template's slack are merged into one span, so that a few inserted or dropped words do not
 split a notice, and a span is verified by the share of distinct template positions it covers. Phrases have no slack
 and need every position: their spans are exactly the places where the phrase stands.
@@ -51,25 +52,27 @@ def license_words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
-def template_grams(phrases=PHRASES, notices=NOTICES) -> list[tuple[int, str, bool, int, int, int]]:
-    """(template, label, phrase?, k-gram hash, place, number of k-grams) for every k-gram of every template."""
+def template_grams(phrases=PHRASES, notices=NOTICES) -> list[tuple[int, str, bool, int, int, int, str]]:
+    """(template, label, phrase?, k-gram hash, place, number of k-grams, words) for every k-gram of every template."""
     h, out = WordHashes(), []
     for n, (text, label, exact) in enumerate([(*p, True) for p in phrases] + [(*p, False) for p in notices]):
-        grams = gram_hashes(h.of(license_words(text)), PHRASE_K if exact else NOTICE_K).astype(np.int64)
-        out += [(n, label, exact, int(g), place, len(grams)) for place, g in enumerate(grams)]
+        words, k = license_words(text), PHRASE_K if exact else NOTICE_K
+        grams = gram_hashes(h.of(words), k).astype(np.int64)
+        out += [(n, label, exact, int(g), place, len(grams), b" ".join(words[place : place + k]).decode()) for place, g in enumerate(grams)]
     return out
 
 
 def _rolling(bits: dict[int, np.ndarray]):
-    kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int64())]))
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int64()), ("words", pa.string())]))
     low = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in slices(batches, text=1):
-            sizes, grams, places, ends = [], [], [], [0]
+            sizes, grams, places, read, ends = [], [], [], [], [0]
             for text in b.column(1).to_pylist():
-                words = hashes.of(license_words(text))
+                spelled = license_words(text)
+                words = hashes.of(spelled)
                 sizes.append(len(words))
                 n = ends[-1]
                 for k, known in bits.items():
@@ -78,9 +81,10 @@ def _rolling(bits: dict[int, np.ndarray]):
                     if len(hit):
                         grams.append(g[hit])
                         places.append(hit)
+                        read += [b" ".join(spelled[i : i + k]) for i in hit]
                         n += len(hit)
                 ends.append(n)
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *grams]).astype(np.int64)), pa.array(np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64))], ["gram", "at"])
+            values = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *grams]).astype(np.int64)), pa.array(np.concatenate([np.empty(0, np.int64), *places]).astype(np.int64)), pa.array(read, pa.binary()).cast(pa.string())], ["gram", "at", "words"])
             hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), hits.cast(kind)], ["doc_id", "n_words", "hits"])
 
@@ -97,10 +101,10 @@ def license_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", phra
         bits[k] = np.zeros(1 << FILTER_BITS, bool)
         bits[k][[g[3] & ((1 << FILTER_BITS) - 1) for g in grams if g[2] == exact]] = True
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = stash(rows.mapInArrow(lean(_rolling(bits)), "doc_id long, n_words long, hits array<struct<gram:long,at:long>>").withColumn("row", F.monotonically_increasing_id()))
-    templates = spark.createDataFrame(grams, "template int, label string, exact boolean, gram long, place int, grams int")
+    rows = stash(rows.mapInArrow(lean(_rolling(bits)), "doc_id long, n_words long, hits array<struct<gram:long,at:long,words:string>>").withColumn("row", F.monotonically_increasing_id()))
+    templates = spark.createDataFrame(grams, "template int, label string, exact boolean, gram long, place int, grams int, spelled string")
     # the templates are the fixed texts above, a few hundred rows
-    votes = rows.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(F.broadcast(templates), "gram")
+    votes = rows.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(F.broadcast(templates), "gram").where("words = spelled")
     votes = votes.withColumn("diagonal", F.col("at") - F.col("place"))
     by = ["row", "template", "label", "exact", "grams"]
     lines = votes.groupBy(*by, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("lo"), F.max("at").alias("hi"))

@@ -22,9 +22,13 @@ and the sets differ in at most (s + t) / 9 places.
   filled parts than it can have differences (checked over all sets; with K = infinity each shingle is a part).
 
 Copies: equal sets form one class; only classes are joined, and lists hold a class once per scan task. Lists of up to
-SHORT members give all their pairs, longer ones link every member to their smallest. After links are verified and
-classes joined in components, the sets of long lists whose members lie in several components are compared block by
-block within tasks, which makes the result exact for any data without a row for each pair. Entries travel as packed arrays, one row for each bucket and task.
+SHORT members give all their pairs, longer ones link every member to their smallest; a scan task reduces what it has of
+a long list to the smallest member before it sends it on, so no list is gathered whole. After links are verified and
+classes joined in components, the members of long lists that lie in several components go through a prefix filter: the
+shingles of each are ordered by how many members hold them, and only sets that share one of their rarest fifth (and one
+more) meet, list by list, in blocks within tasks. That makes the result exact for any data without a row for each pair.
+Entries travel as packed arrays, one row for each bucket and task. Keys that many rows share (a class of copies, a hub
+of a component, a common shingle) are joined by common.join_heavy.
 
 Defined results: null or blank text has no shingles and is linked with nothing (its component is itself); a null
 doc_id has a null component; repeated rows (same id and text) give equal rows; fewer than five words are one shingle;
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, ascii_words, cols_of, drop_stash, free_shuffles, fresh, keyed, lean, lean_group, mix64, shingle_set, slices, small_side, stash
+from perkline.llm.common import WordHashes, ascii_words, cols_of, drop_stash, free_shuffles, fresh, join_heavy, keyed, lean, lean_group, mix64, shingle_set, slices, small_side, stash
 
 #: Longest list that gives all pairs; entries of a bucket aimed at; entries that a task holds before it sends them.
 SHORT, BUCKET_ENTRIES, HOLD = 8, 1_000_000, 1_000_000
@@ -50,7 +54,10 @@ SHORT, BUCKET_ENTRIES, HOLD = 8, 1_000_000, 1_000_000
 SCAN = 4
 #: Sets of a cell in the comparison of long lists.
 CELL = 400
-FILTER_BITS = 1 << 22
+#: A bit filter has so many bits for each id; up to so many ids one is used (32 MB), beyond that a semi join.
+FILTER_SHARE, FILTER_IDS = 16, 1 << 24
+#: Bytes of text for a shingle, about; entries in the index for a shingle, about.
+SHINGLE_BYTES, ENTRY_SHARE = 6, 0.65
 #: Share of the hash range whose shingles the sieve counts; documents go to this many groups a bucket for their sums.
 SAMPLE = 0.4
 _CUT = np.uint64(int(SAMPLE * 2**64))
@@ -308,15 +315,19 @@ def _index(choice: dict[int, int], buckets: int, bits):
 
         def flush():
             sig, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            order = np.argsort(sig)
-            sig, ids = sig[order], ids[order]
+            sig, ids, groups, a, b, run, member = shorten(sig, ids)
             where = (sig >> shift).astype(np.int64) if shift is not None else np.zeros(len(sig), np.int64)
             cuts = np.flatnonzero(np.diff(where)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(sig)]])
-            planes = [_planes(ids[i:j]) for i, j in zip(starts, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(where[starts].astype(np.int32)), pa.array([sig[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()), pa.array(planes, pa.binary())], ["bucket", "sigs", "ids"])
-
-        for ids, sets in _sets(batches, _wanted(bits.value)):
+            at = list(zip(starts, ends, strict=True))
+            keys, cols = where[starts].tolist(), [[sig[i:j].tobytes() for i, j in at], [_planes(ids[i:j]) for i, j in at], [_planes(groups[i:j]) for i, j in at]]
+            if len(member):  # found rows; they go to some place below 0
+                keys.append(-1 - int(mix64(member[:1].view(np.uint64))[0] % np.uint64(buckets)))
+                for c, x in zip(cols, (np.stack([a, b]), np.stack([run, member]), np.empty(0)), strict=True):
+                    c.append(x.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "sigs", "ids", "groups"])
+
+        for ids, sets in _sets(batches, _wanted(bits.value) if bits else None):
             new = []
             for i, s in enumerate(sets):
                 if len(s):
@@ -341,26 +352,51 @@ def _index(choice: dict[int, int], buckets: int, bits):
     return run
 
 
-def scan_lists(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs a, pairs b, run numbers, run members): the candidates of the lists in these entries, without repeats."""
+def shorten(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signatures, ids, groups) in order, a long list left with its smallest member, whose group numbers all members of
+    the list (0 for entries of short lists); and once for each group, as scan_lists gives them, (pairs a, pairs b, run
+    numbers, run members)."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(sig)))
+    group = mix64(np.add.reduceat(mix64(ids.view(np.uint64)), starts) + sizes.astype(np.uint64)) | np.uint64(1)
+    long = sizes > SHORT
+    told = np.zeros(len(starts), bool)  # the first list of each group speaks for all
+    told[np.flatnonzero(long)[np.unique(group[long], return_index=True)[1]]] = True
+    head, each, told = np.repeat(ids[starts], sizes), np.repeat(group, sizes).view(np.int64), np.repeat(told, sizes)
+    long = np.repeat(long, sizes)
+    stay, away = ~long | first, told & (ids != head)
+    return sig[stay], ids[stay], np.where(long, each, 0)[stay], head[away], ids[away], each[told], ids[told]
+
+
+def scan_lists(sig: np.ndarray, ids: np.ndarray, groups: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The candidates of the lists in these entries, without repeats: (pairs a, pairs b, run numbers, run members) and
+    for entries that stand for a group of their task (see shorten) (run numbers, groups in them)."""
+    groups = np.zeros(len(sig), np.int64) if groups is None else groups
+    order = np.lexsort((ids, sig))
+    sig, ids, groups = sig[order], ids[order], groups[order]
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(sig)))
-    left, right, run, member = [], [], [], []
+    marked = np.logical_or.reduceat(groups != 0, starts) if len(starts) else np.zeros(0, bool)
+    left, right, run, member, holder, held = [], [], [], [], [], []
     for n in range(2, SHORT + 1):
-        at = starts[sizes == n]
+        at = starts[(sizes == n) & ~marked]
         if len(at):
             rows = ids[at[:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
             left.append(rows[:, i].ravel())
             right.append(rows[:, j].ravel())
-    long_seen = set()
-    for at, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
-        who = np.unique(ids[at : at + n])
-        key = who.tobytes() if len(who) < 64 else (len(who), int(mix64(who.view(np.uint64)).sum()))
+    long_seen, long = set(), (sizes > SHORT) | marked & (sizes > 1)
+    for at, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True):
+        who, inner = np.unique(ids[at : at + n]), np.unique(groups[at : at + n])
+        inner = inner[inner != 0]
+        both = np.concatenate([who, inner])
+        key = (len(who), both.tobytes() if len(both) < 64 else int(mix64(both.view(np.uint64)).sum()))
         if len(who) < 2 or key in long_seen:
             continue
         long_seen.add(key)
@@ -368,26 +404,32 @@ def scan_lists(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
         right.append(who[1:])
         run.append(np.full(len(who), sig[at].view(np.int64)))
         member.append(who)
+        holder.append(np.full(len(inner), sig[at].view(np.int64)))
+        held.append(inner)
     none = np.empty(0, np.int64)
     a, b = (np.concatenate(x) if x else none for x in (left, right))
     a, b = a[a != b], b[a != b]
     if len(a):
         pair = np.unique(np.stack([a, b], 1), axis=0)
         a, b = pair[:, 0], pair[:, 1]
-    return a, b, np.concatenate(run) if run else none, np.concatenate(member) if member else none
+    return a, b, *(np.concatenate(x) if x else none for x in (run, member, holder, held))
 
 
 def _scan(table: pa.Table) -> pa.Table:
-    sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("sigs").to_pylist()])
-    ids = _unplanes(table.column("ids").to_pylist()).view(np.int64)
-    a, b, run, member = scan_lists(sig, ids)
-    kind = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(run), np.int8)])
-    return pa.table({"kind": pa.array(kind), "x": pa.array(np.concatenate([a, run])), "y": pa.array(np.concatenate([b, member]))})
+    """Entries of a bucket -> rows (kind, x, y): 0 pairs, 1 runs and their members, 2 runs and groups in them."""
+    sigs, ids, groups = (table.column(c).to_pylist() for c in ("sigs", "ids", "groups"))
+    if table.column("bucket")[0].as_py() < 0:  # found by scan tasks
+        pairs, runs = (np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in c], 1) for c in (sigs, ids))
+        found = [*pairs, *runs, *np.empty((2, 0), np.int64)]
+    else:
+        found = scan_lists(np.concatenate([np.frombuffer(x, np.uint64) for x in sigs]), _unplanes(ids).view(np.int64), _unplanes(groups).view(np.int64))
+    kind = np.repeat(np.arange(3, dtype=np.int8), [len(x) for x in found[::2]])
+    return pa.table({"kind": pa.array(kind), "x": pa.array(np.concatenate(found[::2])), "y": pa.array(np.concatenate(found[1::2]))})
 
 
 def _wanted(bits: np.ndarray):
     def keep(ids: np.ndarray) -> np.ndarray:
-        h = mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
+        h = mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(8 * len(bits))
         return (bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
     return keep
@@ -395,21 +437,24 @@ def _wanted(bits: np.ndarray):
 
 def _set_rows(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, _wanted(bits.value)):
+        for ids, sets in _sets(batches, _wanted(bits.value) if bits else None):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
     return run
 
 
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ids -> (word, bits) of the filter, one row for each 64-bit word that a task touches."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b in batches:
-        h = mix64(b.column(0).to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)
-        np.bitwise_or.at(bits, h >> np.uint64(3), (np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)))
-    words = bits.view(np.int64)
-    at = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], ["word", "bits"])
+def _filter_words(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """ids -> (word, bits) of the filter, one row for each 64-bit word that a task touches."""
+        bits = np.zeros(size // 8, np.uint8)
+        for b in batches:
+            h = mix64(b.column(0).to_numpy().view(np.uint64)) % np.uint64(size)
+            np.bitwise_or.at(bits, h >> np.uint64(3), (np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)))
+        words = bits.view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], ["word", "bits"])
+
+    return run
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,21 +469,33 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(hit))
 
 
-def _filter_of(ids: DataFrame):
-    """A broadcast bit filter of fixed size (FILTER_BITS) over a column of ids; it may let others through."""
-    words = ids.mapInArrow(lean(_filter_words), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+def _picked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
+    """(rows, filter) such that the rows that pass the filter are those (doc_id, text) whose doc_id is in `ids` (one
+    column `id`, distinct), and some others. The filter is a broadcast of bits, sized by the number of ids; for more
+    than FILTER_IDS there is none, and a semi join picks the rows."""
+    n = ids.count()
+    if n > FILTER_IDS:
+        return rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), None
+    size = 1 << max(16, (FILTER_SHARE * n).bit_length())
+    words = ids.mapInArrow(lean(_filter_words(size)), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = np.zeros(size // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    return ids.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+    return rows, rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents in `ids`, and some others: built again in a scan, so texts are not shuffled."""
+    picked, bits = _picked(rows, ids)
+    return stash(picked.mapInArrow(lean(_set_rows(bits)), "id long, shingles binary"))
 
 
 def verify(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link; rows: (doc_id, text). Sets are built again for the documents that
-    occur in pairs: a bit filter picks them in the scan, so texts are not shuffled."""
-    bits = _filter_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = stash(rows.mapInArrow(lean(_set_rows(bits)), "id long, shingles binary"))
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    out = stash(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(lean(_overlaps), "a long, b long").distinct())
+    """The pairs (a, b) of doc_ids whose sets link; rows: (doc_id, text). The side of a pair that occurs most often, the
+    head of a long list, is joined by join_heavy."""
+    sets = _sets_of(rows, stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    heads = stash(pairs.groupBy("a").agg(F.count("*").alias("w")).join(sets.toDF("a", "sa"), "a"))
+    met = pairs.join(sets.toDF("b", "sb"), "b").select("a", "b", "sb")
+    out = stash(join_heavy(met, heads, ["a"], "w").select("a", "b", "sa", "sb").mapInArrow(lean(_overlaps), "a long, b long").distinct())
     drop_stash(sets)
     return out
 
@@ -498,45 +555,71 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
 
-def family_links(rows: DataFrame, apart: DataFrame) -> DataFrame:
-    """Links among the sets of each family, the sets that long lists hold together; apart: (first, rep, n, comp), one row
-    for each list and member, `first` being the list's smallest member; enough links to connect what is linked.
-
-    Families are cut by size classes and, within these, by a hash, into cells of about CELL sets; each pair of cells
-    whose sizes can link is one task, which joins the two in memory and gives only the links."""
-    family = components(apart.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, shingles) -> (rep, token), one row for each shingle."""
+    for b in slices(batches):
+        for rep, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for at in range(0, len(x), 8 << 16):
+                token = np.frombuffer(x[at : at + (8 << 16)], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), rep)), pa.array(token)], ["rep", "token"])
+
+
+def meetings(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(token, rep, n, comp): the lists of a prefix filter over members (rep, n, comp) that hold several components.
+
+    Shingles are ordered by how many members hold them: a set's rarest fifth, and one more, must hold one that a linked
+    set has there too. Shingles of one set alone count as rarest and make no list, so members that only share common
+    passages do not meet."""
+    own = stash(sets.join(members.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(lean(_tokens), "rep long, token long"))
+    often = stash(own.groupBy("token").agg(F.count("*").alias("often")).where("often > 1").withColumn("w", F.col("often")))
+    ranked = join_heavy(own, often, ["token"], "w").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t")).join(members, "rep")
+    lead = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - (F.col("n") - F.size("t"))  # without the shingles that it has alone
+    lists = stash(ranked.where(lead > 0).select("rep", "n", "comp", F.explode(F.slice("t", F.lit(1), lead.cast("int"))).alias("t")).select(F.col("t.token").alias("token"), "rep", "n", "comp"))
+    mixed = stash(lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).where("lo != hi").select("token", "w"))
+    drop_stash(own)
+    return stash(join_heavy(lists, mixed, ["token"], "w"))
+
+
+def family_links(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Links among members (rep, n, comp), the sets of long lists that lie in several components: enough links to
+    connect what is linked.
+
+    Lists of the prefix filter are cut by size classes and, within these, by a hash, into cells of about CELL sets; each
+    pair of cells whose sizes can link is one task, which joins the two in memory and gives only the links."""
+    sets = _sets_of(rows, members.select(F.col("rep").alias("id")))
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.26)))  # sizes within 1.25: same or next class
-    members = apart.select("rep", "n", "comp").distinct().join(family, F.col("rep") == F.col("node"), "left").select("rep", "comp", F.coalesce("component", "rep").alias("fam"), size_class.alias("cls"))
-    cells = members.groupBy("fam", "cls").agg(F.ceil(F.count("*") / CELL).alias("salts"))
-    own = members.join(cells, ["fam", "cls"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
-    meets = own.withColumn("other", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
-    meets = meets.join(cells.toDF("fam", "other", "o_salts"), ["fam", "other"]).withColumn("o_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_salts") - 1)))
+    lists = meetings(sets, members).withColumn("cls", size_class)
+    cells = stash(lists.groupBy("token", "cls").agg(F.ceil(F.count("*") / CELL).alias("salts"), F.count("*").alias("w")))
+    own = join_heavy(lists, cells, ["token", "cls"], "w").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    near = own.withColumn("other", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    meets = near.join(cells.select("token", F.col("cls").alias("other"), F.col("salts").alias("o_salts")), ["token", "other"]).withColumn("o_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_salts") - 1)))
     me_low = (F.col("cls") < F.col("other")) | ((F.col("cls") == F.col("other")) & (F.col("salt") <= F.col("o_salt")))
     me_high = (F.col("cls") > F.col("other")) | ((F.col("cls") == F.col("other")) & (F.col("salt") >= F.col("o_salt")))
     pick = lambda a, b: F.when(me_low, F.col(a)).otherwise(F.col(b))
-    work = meets.select("fam", pick("cls", "other").alias("c1"), pick("salt", "o_salt").alias("s1"), pick("other", "cls").alias("c2"), pick("o_salt", "salt").alias("s2"), "rep", "comp", me_low.alias("low"), me_high.alias("high"))
-    sets = stash(rows.mapInArrow(lean(_set_rows(_filter_of(members.select("rep").distinct()))), "id long, shingles binary"))
+    work = meets.select("token", pick("cls", "other").alias("c1"), pick("salt", "o_salt").alias("s1"), pick("other", "cls").alias("c2"), pick("o_salt", "salt").alias("s2"), "rep", "comp", me_low.alias("low"), me_high.alias("high"))
     work = work.join(sets.withColumnRenamed("id", "rep"), "rep")
-    out = stash(work.groupBy("fam", "c1", "s1", "c2", "s2").applyInArrow(lean_group(_block), "a long, b long").distinct())
+    out = stash(work.groupBy("token", "c1", "s1", "c2", "s2").applyInArrow(lean_group(_block), "a long, b long").distinct())
     drop_stash(sets)
     return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of `edges` (a, b) but the smallest of each component: the smallest node reachable.
-    Alternating large and small
-    stars; each round is a few joins over the edges, written down, until nothing changes."""
+    Alternating large and small stars; each round is a few joins over the edges, written down, until nothing changes
+    (about as many rounds as the logarithm of the largest component's nodes)."""
     edges = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        both = stash(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        low = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("w")))
+        large = stash(join_heavy(both, low, ["u"], "w").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        # here a node has few neighbours: the smallest nodes of its former ones
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), "m").where("u != m").unionByName(low).toDF("u", "v").distinct()
         new = stash(small)
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_stash(edges)
+        for x in (edges, both, large):
+            drop_stash(x)
         edges = new
         if state == before:
             break
@@ -548,18 +631,33 @@ def _by_class(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of doc_ids -> distinct pairs a < b of class representatives whose sizes can link."""
     x = classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"))
     y = classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
-    met = pairs.join(x, "a").join(y, "b").where("ra != rb and 100 * least(na, nb) >= 80 * greatest(na, nb)")
+    x = stash(x.join(pairs.groupBy("a").agg(F.count("*").alias("w")), "a"))  # heads of long lists have many pairs
+    met = join_heavy(pairs, x, ["a"], "w").join(y, "b").where("ra != rb and 100 * least(na, nb) >= 80 * greatest(na, nb)")
     return met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
+def _apart(found: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(rep, n, comp) of the members of long lists that lie in several components."""
+    runs = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc_id")).join(classes, "doc_id").select("run", "rep", "n").distinct()
+    runs = stash(runs.join(comps, F.col("rep") == F.col("node"), "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    held = stash(found.where("kind = 2").select(F.col("x").alias("run"), F.col("y").alias("inner")).distinct())
+    span = stash(runs.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")))
+    # a run reaches over its own members and those of the groups in it
+    wide = held.join(span.select(F.col("run").alias("inner"), "lo", "hi"), "inner").select("run", "lo", "hi").unionByName(span.select("run", "lo", "hi"))
+    mixed = stash(wide.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("run"))
+    mixed = mixed.unionByName(held.join(mixed, "run").select(F.col("inner").alias("run"))).distinct()
+    return join_heavy(runs, stash(span.join(mixed, "run").select("run", "w")), ["run"], "w").select("rep", "n", "comp").distinct()
+
+
 def join_ngrams(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set): one row per document."""
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set), n_copies (documents of the class):
+    one row per document. The class of a document without words, or without an id, is itself."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = rows.where(F.col("doc_id").isNotNull())
     lost = docs.where(F.col(doc).isNull()).select(F.col(text).cast("string").alias("text"))
-    # about 200 sampled shingles a document
-    buckets = 1 << max(6, (known.count() * 200 // BUCKET_ENTRIES).bit_length())
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << max(6, int(SAMPLE * size / SHINGLE_BYTES / BUCKET_ENTRIES).bit_length())
     told = known.mapInArrow(lean(_profile(buckets)), "kind byte, key int, a binary, b binary, bad array<int>")
     # one pass gives both: profiles are spread by their place, entries by their bucket
     spread = F.when(F.col("kind") == 0, -1 - F.pmod(F.hash("a"), F.lit(buckets))).otherwise(F.col("key"))
@@ -575,28 +673,29 @@ def join_ngrams(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
         choice |= {n: choice.get(n, 0) + 1 for n in bad}
         open_ = {n for n in bad if choice[n] < len(ladder(1)) - 1}
         bad = {r[0] for r in known.mapInArrow(lean(_recheck(choice, open_)), "level int").distinct().collect()} if open_ else set()
-    reps = profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = stash(profile.where("n > 0").drop("bad").join(reps, ["h1", "h2", "n"]).select("doc_id", "n", "rep"))
+    reps = stash(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")).withColumn("w", F.col("n_copies")))
+    classes = stash(join_heavy(profile.where("n > 0").select("doc_id", "n", "h1", "h2"), reps, ["h1", "h2", "n"], "w").select("doc_id", "n", "rep", "n_copies"))
     entries = profile.join(rest, F.col("doc_id") == F.col("id"), "left_semi").agg(F.sum("n")).first()[0] or 0
-    buckets = 1 << max(6, (int(0.65 * entries / BUCKET_ENTRIES)).bit_length())
-    lists = known.mapInArrow(lean(_index(choice, buckets, _filter_of(rest))), "bucket int, sigs binary, ids binary")
+    entries += (profile.agg(F.sum("n")).first()[0] or 0) / FILTER_SHARE  # others that pass the filter
+    buckets = 1 << max(6, int(ENTRY_SHARE * entries / BUCKET_ENTRIES).bit_length())
+    picked, bits = _picked(known, rest)
+    lists = picked.mapInArrow(lean(_index(choice, buckets, bits)), "bucket int, sigs binary, ids binary, groups binary")
     found = stash(lists.groupBy("bucket").applyInArrow(lean_group(_scan), "kind byte, x long, y long"))
     free_shuffles(spark)
-    pairs = stash(_by_class(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), classes))
-    links = verify(known, pairs)
+    pairs = stash(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    links = verify(known, stash(_by_class(pairs, classes)))
     comps = components(links)
-    # long lists whose members are still apart
-    runs = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc_id"))
-    runs = runs.join(classes, "doc_id").select("run", "rep", "n").distinct().join(comps, F.col("rep") == F.col("node"), "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = runs.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("first")).where("lo != hi").select("run", "first")
-    apart = stash(runs.join(mixed, "run").select("first", "rep", "n", "comp").distinct())
+    apart = stash(_apart(found, classes, comps))
     if not apart.isEmpty():
         late = family_links(known, apart)
         if not late.isEmpty():
             comps = components(links.unionByName(late))
-    out = profile.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", "n").join(reps, ["h1", "h2", "n"], "left").withColumn("class_id", F.coalesce("rep", "doc_id"))
-    out = out.join(comps, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
-    return out.unionByName(lost.mapInArrow(lean(_lost), "doc_id long, n_shingles long, component_id long, class_id long"))
+    out = profile.select("doc_id", F.col("n").alias("n_shingles")).where("n_shingles = 0").withColumns({"class_id": F.col("doc_id"), "n_copies": F.lit(1).cast("long")})
+    out = out.unionByName(classes.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), "n_copies"))
+    sizes = classes.where("doc_id = rep").select(F.col("rep").alias("class_id"), "n_copies").distinct()
+    found = stash(sizes.join(comps, F.col("class_id") == F.col("node")).select("class_id", "component", F.col("n_copies").alias("w")))
+    out = join_heavy(stash(out), found, ["class_id"], "w", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", "n_copies")
+    return out.unionByName(lost.mapInArrow(lean(_lost), "doc_id long, n_shingles long, component_id long, class_id long, n_copies long"))
 
 
 def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -604,7 +703,7 @@ def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in slices(batches, text=0):
         none = pa.nulls(b.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array([len(shingle_set(hashes.of(ascii_words(t)))) for t in b.column(0).to_pylist()], pa.int64()), none, none], ["doc_id", "n_shingles", "component_id", "class_id"])
+        yield pa.RecordBatch.from_arrays([none, pa.array([len(shingle_set(hashes.of(ascii_words(t)))) for t in b.column(0).to_pylist()], pa.int64()), none, none, pa.array([1] * b.num_rows, pa.int64())], ["doc_id", "n_shingles", "component_id", "class_id", "n_copies"])
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,15 +2,16 @@
 
 One pass over whole texts finds the spans of the fixed kinds (assign, access, hex) and further candidates: long mixed
 strings outside those spans. Each distinct value is then counted over the corpus by distinct repositories and distinct
-owners, from its hash alone. A value held by several owners is a widely copied example; one held by a single owner
-which looks live (enough entropy, no placeholder) is that owner's own secret. Candidates of the second sort become
-spans of kind `owned`; the fixed spans stay whatever their class, but are counted as live or example.
+owners, from its hash alone. A value in several repositories and with several owners is a widely copied example: neither many
+repositories of one owner nor one repository that several owners hold (a mirror) make it one. Any other value that
+looks live (enough entropy, no placeholder) belongs to its owner. Candidates of that sort become spans of kind `owned`; the
+fixed spans stay whatever their class, but are counted as live or example.
 
-Counting: hashes are made distinct per document in the scan, then (hash, owner, repository) and (hash, owner) are
-reduced before the counts, each with map-side combine, so a value in a third of all rows is a few rows per task.
+Counting: (hash, owner, repository) is reduced before the distinct counts, each with map-side combine, so a value in a
+third of all rows is a few rows per task; the counts of such values come back to their rows by broadcast.
 
 Defined results: null text is empty and has no spans; null owner or repository counts as the one named ""; a repeated
-row is a further document of the same owner; very long texts are scanned whole; an empty table gives no rows; other
+row is the same repository of the same owner; very long texts are scanned whole; an empty table gives no rows; other
 columns are ignored, whatever their names.
 """
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import cols_of, fresh, keyed, lean, slices, small_side, stash
+from perkline.llm.common import cols_of, fresh, join_heavy, keyed, lean, slices, small_side, stash
 
 # Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -39,8 +40,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 OWNED = "owned"
 MIXED = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PLACEHOLDER = re.compile(r"x{4,}|0{6,}|1234567|example|changeme|placeholder|your[_-]", re.I)
-#: From so many distinct owners on, a value is a copied example. A live value has so many bits a character at least.
-EXAMPLE_OWNERS, LIVE_BITS = 2, 3.0
+#: From so many distinct owners and repositories on, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 2, 2
+#: A live value has so many bits a character at least.
+LIVE_BITS = 3.0
 
 SPAN = "struct<kind:string,start:int,end:int,hash:long,base:boolean,live:boolean>"
 
@@ -75,7 +78,9 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
         v = m[0]
         while i < len(by_start) and by_start[i][1] <= m.start():
             i += 1
-        clash = any(s < m.end() and e > m.start() for s, e in by_start[i : i + 8])
+        j, clash = i, False
+        while j < len(by_start) and by_start[j][0] < m.end() and not clash:
+            clash, j = by_start[j][1] > m.start(), j + 1
         if not clash and any(c.isdigit() for c in v) and v.lower() != v and v.upper() != v and looks_live(v):
             out.append((m.start(), m.end(), v))
     return out
@@ -113,17 +118,18 @@ def scan_secrets(docs: DataFrame, doc: str = "doc_id", text: str = "text", owner
     scanned = docs.select(F.col(doc).cast("long").alias("doc_id"), rep.alias("repo"), own.alias("owner"), F.col(text).cast("string").alias("text"))
     scanned = stash(scanned.mapInArrow(lean(_scan), f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{SPAN}>").withColumn("row", F.monotonically_increasing_id()))
     held = scanned.select("row", "owner", "repo", F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
-    seen = held.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    owners = seen.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    told = held.join(owners, "hash").withColumn("owned", (F.col("owners") < EXAMPLE_OWNERS) & F.col("live"))
+    seen = held.groupBy("hash", "owner", "repo").agg(F.count("*").alias("rows"))
+    spread = stash(seen.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"), F.sum("rows").alias("rows")))
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) & (F.col("repos") >= EXAMPLE_REPOS)
+    told = join_heavy(held, spread, ["hash"], "rows").withColumn("copied", copied).withColumn("owned", ~F.col("copied") & F.col("live"))
     told = told.where(F.col("base") | F.col("owned"))
     rank = F.when(F.col("kind") == KINDS[0], 0).when(F.col("kind") == KINDS[1], 1).when(F.col("kind") == KINDS[2], 2).otherwise(3)
-    told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "owners", "repos", "owned", "base"))).alias("s"))
+    told = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "owners", "repos", "owned", "copied"))).alias("s"))
     out = scanned.drop("found").join(told, "row", "left").withColumn("s", F.coalesce("s", F.array().cast(told.schema["s"].dataType)))
     joined = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda f: F.size(F.filter("s", f)).cast("long")
     found = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["owners"].alias("owners"), x["repos"].alias("repos"), x["owned"].alias("owned")))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", joined.alias("spans"), count(lambda x: x["owned"]).alias("n_live"), count(lambda x: x["owners"] >= EXAMPLE_OWNERS).alias("n_example"), found.alias("found"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", joined.alias("spans"), count(lambda x: x["owned"]).alias("n_live"), count(lambda x: x["copied"]).alias("n_example"), found.alias("found"))
 
 
 def _redact(text: int, mark: str):
@@ -155,7 +161,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", doc: str = "doc_id",
     key, cuts = fresh(rows, "_key"), fresh(rows, "_cuts")
     found = scan_secrets(rows, doc=row, text=text, **{"repo": doc} | how).where(F.size("found") > 0)
     found = found.select(F.col("doc_id").alias(key), F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(cuts))
-    found = small_side(found, 50_000)
+    found = small_side(found, F.size(cuts))
     both = rows.join(found, F.col(row) == F.col(key), "left").select(*cols_of([*docs.columns, cuts]))
     out = both.mapInArrow(lean(_redact(docs.columns.index(text), mark)), docs.schema)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out

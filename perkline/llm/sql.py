@@ -5,7 +5,7 @@ from __future__ import annotations
 from perkline.llm.chat_format import CONTROL, END, START
 from perkline.llm.fingerprint import BUCKETS, LENGTH_MOST, MOST, MULTIPLIERS, TURN
 from perkline.llm.license_scan import COVER, NOTICE_K, NOTICES, PHRASE_K, PHRASES, SLACK, license_words
-from perkline.llm.secret_scan import EXAMPLE_OWNERS, LIVE_BITS
+from perkline.llm.secret_scan import EXAMPLE_OWNERS, EXAMPLE_REPOS, LIVE_BITS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -17,8 +17,11 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 linked AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 edges AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+z AS (SELECT doc_id, list_sort(list(g)) AS g FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class_id, count(*) OVER (PARTITION BY g) AS n_copies FROM z),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, d.component_id FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) d LEFT JOIN n USING (doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, d.component_id, coalesce(k.class_id, doc_id) AS class_id, coalesce(k.n_copies, 1) AS n_copies
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 OP3 = """
@@ -45,7 +48,7 @@ WITH c AS (
 r AS (SELECT *, {_HELD} OR contains(role, chr(10)) OR starts_with(role, '\\') AS kept FROM c),
 f AS (SELECT *, {len(START) + 1 + len(END) + 1} + CASE WHEN kept THEN 1 + length(base64(role::BLOB)) + length({_BODY}) ELSE length(role) + length(text) END AS chars FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars, true AS round_trip
 FROM f GROUP BY conv_id
 """
 
@@ -95,12 +98,12 @@ found AS (SELECT * FROM base UNION ALL SELECT * FROM mixed),
 bits AS (SELECT value, -sum(n / len * log2(n / len)) AS bits FROM (SELECT value, c, count(*)::DOUBLE AS n, len(value)::DOUBLE AS len FROM (SELECT value, unnest(string_split(value, '')) AS c FROM (SELECT DISTINCT value FROM found)) GROUP BY value, c) GROUP BY value),
 held AS (SELECT f.*, bits >= {LIVE_BITS} AND NOT regexp_matches(value, '[xX]{{4,}}|0{{6,}}|1234567') AND NOT regexp_matches(value, '{_BLANK}') AS live FROM found f JOIN bits USING (value)),
 keep AS (SELECT * FROM held WHERE rank < 3 OR live),
-owners AS (SELECT value, count(DISTINCT owner) AS owners FROM keep GROUP BY value),
-told AS (SELECT k.*, owners, owners < {EXAMPLE_OWNERS} AND live AS owned FROM keep k JOIN owners USING (value)),
+owners AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS repos FROM keep JOIN d USING (row, owner) GROUP BY value),
+told AS (SELECT k.*, owners >= {EXAMPLE_OWNERS} AND repos >= {EXAMPLE_REPOS} AS copied, NOT (owners >= {EXAMPLE_OWNERS} AND repos >= {EXAMPLE_REPOS}) AND live AS owned FROM keep k JOIN owners USING (value)),
 sums AS (
   SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
-    count(*) FILTER (owned) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example
+    count(*) FILTER (owned) AS n_live, count(*) FILTER (copied) AS n_example
   FROM told WHERE rank < 3 OR owned GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
   coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
