@@ -142,3 +142,58 @@ def op9(docs):
         e = t[: len(t) - h] + u[:h]
         out[d["doc_id"]] = (len(t), hashlib.sha256(e.encode()).hexdigest(), t, e, u)
     return out
+
+
+def trigrams(text, bins=1 << 15):
+    """Hashed byte trigrams, digits and space runs folded."""
+    data = re.sub(rb"[\x00-\x20]+", b" ", re.sub(rb"[0-9]", b"0", text.lower().encode("utf-8", "surrogatepass")))
+    return Counter((((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 17 for i in range(len(data) - 2))
+
+
+def op10_model(docs, bins=1 << 15):
+    """language -> trigram counts, from labelled documents."""
+    model = {}
+    for d in docs:
+        if d["lang"] is not None and d["doc_id"] is not None:
+            model.setdefault(d["lang"][:2].lower(), Counter()).update(trigrams(d["text"] or ""))
+    return dict(sorted(model.items()))
+
+
+def op10(rows, model, bins=1 << 15, temper=400, strength=20.0, und=1e-4):
+    """rows: (id, text, declared, host, suffix) -> (language, probability, language of the text alone) for each."""
+    langs = [*model, "und"]
+    likely, votes = [], []
+    totals = {m: sum(c.values()) + 0.5 * bins for m, c in model.items()}
+    for _, text, *_ in rows:
+        grams = trigrams(text)
+        n = sum(grams.values())
+        if not n:
+            likely.append(None)
+            votes.append([0.0] * len(langs))
+            continue
+        ll = [sum(k * math.log((c[g] + 0.5) / totals[m]) for g, k in grams.items()) * min(1.0, temper / n) for m, c in model.items()]
+        ll.append(-n * math.log(bins) * min(1.0, temper / n))
+        ll = [x - max(ll) for x in ll]
+        likely.append(ll)
+        z = sum(map(math.exp, ll))
+        votes.append([math.exp(x) / z for x in ll])
+    out = []
+    for r, (_, _, declared, host, suffix) in enumerate(rows):
+        if likely[r] is None:
+            out.append(("und", 0.0, "und"))
+            continue
+        others = [(votes[q], x) for q, x in enumerate(rows) if q != r]
+        prior = [1.0 / len(langs)] * len(langs)
+        for near, weight in ((lambda x: True, float(len(langs))), (lambda x: x[4] == suffix, strength), (lambda x: x[4] == suffix and x[3] == host, strength)):
+            mine = [sum(v[i] for v, x in others if near(x)) for i in range(len(langs))]
+            prior = [(m + weight * p) / (sum(mine) + weight) for m, p in zip(mine, prior, strict=True)]
+        post = [x + math.log(p) for x, p in zip(likely[r], prior, strict=True)]
+        codes = {x[2] for x in rows if x[2]}
+        if declared:
+            for i in range(len(langs)):
+                same, any_ = sum(v[i] for v, x in others if x[2] == declared), sum(v[i] for v, x in others if x[2])
+                post[i] += math.log((same + 0.5) / (any_ + 0.5 * len(codes)))
+        post[-1] += math.log(und)
+        best = max(range(len(langs)), key=lambda i: post[i])
+        out.append((langs[best], 1 / sum(math.exp(x - post[best]) for x in post), langs[max(range(len(langs)), key=lambda i: likely[r][i])]))
+    return out
