@@ -5,13 +5,14 @@ is one row of work: the blocks meet by an equi-join on block numbers, so no vect
 pair of blocks the candidates lie in vertical layout (one contiguous array for each dimension). For a query the
 dimensions are visited by falling weight, DIMS at a time; after each such block a candidate survives only if its score
 so far plus the largest value the remaining dimensions can add (Cauchy-Schwarz on the remaining mass of both vectors)
-reaches the k-th best score known of distinct ids; the arrays are compacted to the survivors. All sums are whole numbers, so results
-are exact and ties go to the smaller id. The first threshold comes from a small head of the block, scored in full.
+reaches the k-th best score known of distinct ids; the arrays are compacted to the survivors. All sums are whole numbers,
+so results are exact and ties go to the smaller id. The first threshold comes from a small head of the block, scored in full.
 
 Defined results: vectors that are null, empty, hold null or non-finite components, or whose length differs from the
-query's are left out (they neither ask nor answer); a null id is left out; a query's own row (same id, so also a
+query's are left out (they neither ask nor answer), as are components that 256 takes beyond the range of doubles; a null id is left out; a query's own row (same id, so also a
 repeated row of it) is no answer; repeated rows of another id answer once, by their best score; fewer than k candidates give fewer rows; an
-empty table gives none. Scores are exact while they fit in 64 bits.
+empty table gives none. Scores are exact sums of whole numbers of any size; one beyond 64 bits counts, and is given, as the
+nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from perkline.llm.common import lean
 
 BLOCK, DIMS, HEAD, PLACE_BLOCKS = 8192, 16, 512, 8
-#: Whole numbers up to this are exact as doubles; blocks whose sums could pass it are scored in 64-bit integers.
-EXACT = float(1 << 53)
+#: Whole numbers up to these are exact as doubles and as 64-bit integers; sums that could pass them take the next kind.
+EXACT, LONG = float(1 << 53), float(1 << 63)
 
 
 def _pack(group: str):
-    """Arrow rows (id, vector, group) -> one row for each group and dimension: packed ids and a vertical matrix of 64-bit integers."""
+    """Arrow rows (id, vector, group) -> one row for each group and dimension: packed ids and a vertical matrix of doubles that are whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -46,7 +47,7 @@ def _pack(group: str):
             ids, groups = b.column(0).to_pylist(), b.column(2).to_pylist()
             for i, v, g in zip(ids, b.column(1).to_pylist(), groups, strict=True):
                 key = (g, len(v))
-                held.setdefault(key, []).append((i, np.clip(np.floor(256.0 * np.array(v, np.float64)), -(2.0**62), 2.0**62).astype(np.int64)))
+                held.setdefault(key, []).append((i, np.floor(256.0 * np.array(v, np.float64))))
                 if len(held[key]) >= BLOCK:
                     yield flush(key)
         for key in list(held):
@@ -68,17 +69,20 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     """(query id, candidate id, score): the k best of this block for each query. q: rows; c: vertical, dim x n."""
     dim, n = c.shape
     out = []
-    if n and len(q) and float(np.abs(q).max()) * float(np.abs(c).max()) * dim >= EXACT:
+    most = float(np.abs(q).max()) * float(np.abs(c).max()) * dim if n and len(q) else 0.0
+    if most >= EXACT:
+        whole = (lambda x: x.astype(np.int64)) if most < LONG else np.vectorize(int, otypes=[object])
+        q, c = whole(q), whole(c)
         for row in range(len(q_ids)):
             alive = np.flatnonzero(c_ids != q_ids[row])
-            out += _best(q_ids[row], c_ids[alive], (q[row] @ c)[alive], k)
+            scores = np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in (q[row] @ c)[alive]], np.int64)
+            out += _best(q_ids[row], c_ids[alive], scores, k)
         return out
-    c = c.astype(np.float64)
     head, unique = min(n, HEAD), len(np.unique(c_ids)) == n
-    first = q.astype(np.float64) @ c[:, :head]
+    first = q @ c[:, :head]
     sq = c * c
     for row in range(len(q_ids)):
-        own = q[row].astype(np.float64)
+        own = q[row]
         order = np.argsort(-np.abs(own), kind="stable")
         mass = np.sqrt(np.cumsum((own[order] ** 2)[::-1])[::-1])
         others = c_ids[:head] != q_ids[row]
@@ -106,7 +110,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def _best(query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """The k best by score, then id; rows that repeat an id count once."""
     got: dict[int, int] = {}
-    for j in np.lexsort((ids, -scores)):
+    for j in np.lexsort((ids, ~scores if scores.dtype == np.int64 else -scores)):
         got.setdefault(int(ids[j]), int(scores[j]))
         if len(got) == k:
             break
@@ -117,8 +121,8 @@ def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                q = np.frombuffer(r["q_columns"], np.int64).reshape(r["dim"], -1).T
-                c = np.frombuffer(r["columns"], np.int64).reshape(r["dim"], -1)
+                q = np.frombuffer(r["q_columns"], np.float64).reshape(r["dim"], -1).T
+                c = np.frombuffer(r["columns"], np.float64).reshape(r["dim"], -1)
                 got = search_block(np.frombuffer(r["q_ids"], np.int64), q, np.frombuffer(r["ids"], np.int64), c, k)
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
 
@@ -128,7 +132,7 @@ def _search(k: int):
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the queries (ids divisible by `every`) over all rows of `vectors`."""
     vec = F.col(vec_col).cast("array<double>")
-    sound = F.col(id_col).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = F.col(id_col).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 256) < float("inf")))
     rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), vec.alias("v"))
     asks = rows.where(F.col("id") % every == 0)
     n_asks, n_rows = rows.agg(F.count_if(F.col("id") % every == 0), F.count("*")).first()
