@@ -14,12 +14,15 @@ from perkline.llm.secret_scan import redact_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language explains go, each row by its own text."""
+    """Documents that no language explains go, each row by its own text; those without a language code get the one that
+    the evidence gives them."""
     ship(spark)
     rows, row = keyed(docs)
-    gone = fresh(rows, "_gone")
-    told = small_side(identify(document_fields(rows, doc=row), fit_text_model(docs)).where("rejected").select(F.col("id").alias(gone)))
-    return rows.join(told, F.col(row) == F.col(gone), "left_anti").select(*cols_of(docs.columns))
+    key, gone, told = (fresh(rows, n) for n in ("_key", "_gone", "_told"))
+    found = identify(document_fields(rows, doc=row), fit_text_model(docs)).where("rejected or declared = ''")
+    found = small_side(found.select(F.col("id").alias(key), F.col("rejected").alias(gone), F.col("lang").alias(told)))
+    both = rows.join(found, F.col(row) == F.col(key), "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    return both.withColumn("lang", F.coalesce("lang", told)).select(*cols_of(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
