@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding with the Tokenizers library as backend.
 
-The model's protobuf is parsed here; from it are rebuilt the normaliser (dummy prefix, metaspace marker for spaces),
-the pieces with their scores and types, byte fallback, and the model itself: a unigram model takes the scores as they
-are; a BPE model takes as merges every split of a piece into two pieces, ranked by score. Texts are cut before each
-word's metaspace marker, which changes nothing as no piece holds a marker behind another character and each text
-begins with one (checked when the model is read; otherwise texts stay whole). Words are encoded once and remembered; new ones go to the backend in one
-multithreaded batch. Parity with the sentencepiece library is checked on every text whose crc32 of the id is divisible
-by `verify_every` (1: all).
+The model's protobuf is parsed here; from it are rebuilt the normaliser (the character map, read out of its double-array
+trie and applied by longest match; dummy prefix; metaspace marker for spaces), the pieces with their scores and types,
+byte fallback, and the model itself: a unigram model takes the scores as they are; a BPE model takes as merges every
+split of a piece into two pieces, ranked by score. For BPE, texts are cut before each word's metaspace marker, which
+changes nothing as no piece holds a marker behind another character and each text begins with one (checked when the
+model is read; otherwise texts stay whole, as they do for unigram models, whose sums run over the text). Words are
+encoded once and remembered; new ones go to the backend in one multithreaded batch. Parity with the sentencepiece
+library is checked on every text whose crc32 of the id is divisible by `verify_every` (1: all).
 
 Defined results: null and empty texts have no pieces and decode to ""; repeated rows and ties give equal results; very
 long texts are encoded whole, by words; an empty table gives no rows; other columns are ignored.
@@ -63,6 +64,56 @@ def proto_fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def read_charsmap(blob: bytes) -> dict[str, str]:
+    """What a normaliser's character map replaces, and by what. The blob holds the size of a double-array trie over the
+    UTF-8 of the left sides, its 32-bit units, and the right sides, each ended by a zero byte.
+
+    A unit says: bits 0-7 and 31 its label, bit 8 whether a leaf hangs at its own offset, bits 10-30 the offset (times
+    256 with bit 9); a leaf's bits 0-30 are the place of its right side."""
+    if not blob:
+        return {}
+    size = struct.unpack("<I", blob[:4])[0]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    child = np.arange(256)
+    out, todo = {}, [(b"", 0)]
+    while todo:
+        key, at = todo.pop()
+        unit = int(units[at])
+        base = at ^ (unit >> 10 << (unit >> 6 & 8))
+        if unit >> 8 & 1 and key:
+            place = int(units[base]) & 0x7FFFFFFF
+            out[key.decode()] = texts[place : texts.index(b"\0", place)].decode()
+        spots = base ^ child
+        here = spots < len(units)
+        labels = units[np.where(here, spots, 0)] & 0x800000FF
+        todo += [(key + bytes([c]), int(spots[c])) for c in np.flatnonzero(here & (labels == child)).tolist() if c]
+    return out
+
+
+class Rewriter:
+    """Replaces the longest left side of a table at each place of a text, from the left."""
+
+    def __init__(self, table: dict[str, str], keep: list[str]):
+        """keep: strings that stay as they are, before anything else."""
+        self.sides: dict[str, list[tuple[str, str]]] = {}
+        for own, pairs in ((True, [(k, k) for k in keep if k]), (False, table.items())):
+            for k, v in sorted(pairs, key=lambda x: -len(x[0])):
+                self.sides.setdefault(k[0], []).append((k, v))
+        self.first = re.compile("[" + re.escape("".join(sorted(self.sides))) + "]") if self.sides else None
+
+    def __call__(self, text: str) -> str:
+        if not self.first:
+            return text
+        out, at = [], 0
+        while m := self.first.search(text, at):
+            i = m.start()
+            out.append(text[at:i])
+            k, v = next(((k, v) for k, v in self.sides[text[i]] if text.startswith(k, i)), (text[i], text[i]))
+            out.append(v)
+            at = i + len(k)
+        return "".join(out) + text[at:]
+
+
 class PieceModel:
     """What the protobuf says: pieces [(text, score, type)], kind, unknown id, byte fallback, normaliser settings."""
 
@@ -76,19 +127,20 @@ class PieceModel:
                 self.pieces.append((p.get(1, b"").decode(), struct.unpack("<f", p[2])[0] if 2 in p else 0.0, p.get(3, NORMAL)))
             elif field == 2:
                 t = dict(proto_fields(value))
-                self.kind, self.fallback, self.unk = t.get(3, UNIGRAM), bool(t.get(35, 0)), t.get(40, 0)
+                self.kind, self.fallback = t.get(3, UNIGRAM), bool(t.get(35, 0))
             elif field == 3:
                 n = dict(proto_fields(value))
                 self.prefix, self.squeeze, self.spaces, self.charsmap = bool(n.get(3, 1)), bool(n.get(4, 1)), bool(n.get(5, 1)), n.get(2, b"")
         if self.kind not in (UNIGRAM, BPE) or not self.spaces:
             raise ValueError("only unigram and BPE models with escaped spaces are supported")
-        self.by_word = self.prefix and not any(MARK in p[1:] and p.strip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER))
-        self.special = [t == CONTROL for _, _, t in self.pieces]
+        self.unk = next(i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN)
+        self.rewrite = Rewriter(read_charsmap(self.charsmap), [p.replace(MARK, " ") for p, _, t in self.pieces if t == USER])
+        self.by_word = self.kind == BPE and self.prefix and not any(MARK in p[1:] and p.strip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER))
         self.bytes = {i: int(p[3:5], 16) for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
 
     def normalise(self, text: str) -> str:
         if self.charsmap:
-            raise ValueError("a character map other than identity is not supported")
+            text = self.rewrite(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
@@ -96,9 +148,12 @@ class PieceModel:
     def backend(self):
         from tokenizers import Tokenizer, models
 
-        ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
         if self.kind == UNIGRAM:
-            return Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], self.unk, self.fallback))
+            # pieces that no text may match get names that none can hold; unknown characters fall back to bytes later
+            best = max(s for _, s, t in self.pieces if t == NORMAL)
+            score = lambda p, s, t: len(p.encode()) * best - 0.1 if t == USER else s
+            return Tokenizer(models.Unigram([(p if t in (NORMAL, USER) else f"\0{MARK}\0{i}", score(p, s, t)) for i, (p, s, t) in enumerate(self.pieces)], self.unk, False))
+        ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
         usable = {p: s for p, s, t in self.pieces if t in (NORMAL, USER)}
         merges = []
         for p, s in usable.items():
@@ -125,6 +180,7 @@ class PieceCodec:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.leads = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.of_byte = {c: i for i, c in self.model.bytes.items()}
         table = []
         for i, (p, _, t) in enumerate(self.model.pieces):
             table.append(bytes([self.model.bytes[i]]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode())
@@ -154,11 +210,24 @@ class PieceCodec:
             data, at = ids.tobytes(), [*(4 * np.flatnonzero(self.leads[ids])).tolist(), 4 * len(ids)]
             self.known.update(zip(part, [data[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
         rest = [w for w in words if not self.model.by_word or w[0] == MARK]
+        if self.model.kind == UNIGRAM and self.model.fallback:
+            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+                self.known[w] = self._with_bytes(w, e.ids, e.offsets)
+            return
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, np.int32).tobytes()
 
+    def _with_bytes(self, text: str, ids: list[int], offsets: list[tuple[int, int]]) -> bytes:
+        """Unknown characters as the pieces of their bytes."""
+        out: list[int] = []
+        for i, (x, y) in zip(ids, offsets, strict=True):
+            out += [self.of_byte[c] for c in text[x:y].encode("utf-8", "surrogatepass")] if i == self.model.unk else [i]
+        return np.array(out, np.int32).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.words(t) for t in texts]
+        if not self.model.by_word:  # whole texts are not remembered
+            self.known, self.before = {}, {}
         if len(self.known) > self.REMEMBERED:  # words of the last generation that are met again move up
             self.known, self.before = {}, self.known
         new: set[str] = set()
