@@ -19,8 +19,10 @@ REWARD_COLUMNS = (
 )
 
 
-def transaction_rewards(transactions: DataFrame, merchants: DataFrame, cards: DataFrame, rules: DataFrame) -> DataFrame:
-    """Points of every settled transaction: base rate on the amount, bonus multiplier on what fits under the cap."""
+def transaction_rewards(transactions: DataFrame, merchants: DataFrame, cards: DataFrame, rules: DataFrame, negatives_free_room: bool = False) -> DataFrame:
+    """Points of every settled transaction: base rate on the amount, bonus multiplier on what fits under the cap.
+
+    With `negatives_free_room`, a negative amount gives room under the cap back to later ones."""
     settled = transactions.where(F.col("status") == "settled").withColumn("month", month_of("txn_ts"))
     shops = merchants.select(F.col("merchant_id").alias("_shop"), "merchant_name", "category", "country")
     rich = settled.join(shops, F.col("merchant_id") == F.col("_shop"), "left").drop("_shop")
@@ -28,7 +30,7 @@ def transaction_rewards(transactions: DataFrame, merchants: DataFrame, cards: Da
     rich = asof_join(rich, cards, "card_id", "txn_date", "valid_from", "valid_to", terms)
     rich = rich.withColumns({c: F.coalesce(c, F.lit(1.0)) for c in ("base_earn_rate", "point_value_cents")})
     ruled = best_match(rich, rules, ["card_id", "category"], "txn_date", "effective_from", "effective_to", "multiplier", "rule_id", ["rule_id", "multiplier", "monthly_cap_usd"])
-    shared = allocate_capped(ruled, ["member_id", "card_id", "month", "rule_id"], ["txn_ts", "txn_id"], "amount_usd", "monthly_cap_usd", F.col("rule_id").isNotNull())
+    shared = allocate_capped(ruled, ["member_id", "card_id", "month", "rule_id"], ["txn_ts", "txn_id"], "amount_usd", "monthly_cap_usd", F.col("rule_id").isNotNull(), clamp_negative=not negatives_free_room)
     return scored(shared).select(*REWARD_COLUMNS)
 
 

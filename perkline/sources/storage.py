@@ -1,4 +1,4 @@
-"""Reading feeds and tables, and publishing tables so that readers see all of a run or nothing of it."""
+"""Reading feeds and tables, and publishing tables so that a run shows in a table as a whole or not at all."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 from pathlib import Path
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from perkline.sources.schemas import CORRUPT, FEEDS
@@ -69,23 +70,64 @@ def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_lineage(df: DataFrame, source: str, batch_id: str) -> DataFrame:
-    """Adds batch, source, file and time of ingestion."""
-    return df.select("*", F.lit(batch_id).alias("_batch_id"), F.lit(source).alias("_source"), F.input_file_name().alias("_source_file"), F.current_timestamp().alias("_ingested_at"))
+    """Adds batch, source, file and time of ingestion to rows as they come from files."""
+    return df.select("*", F.lit(batch_id).alias("_batch_id"), F.lit(source).alias("_source"), F.col("_metadata.file_path").alias("_source_file"), F.current_timestamp().alias("_ingested_at"))
 
 
 def new_batch_id() -> str:
     return datetime.now(UTC).strftime("%Y%m%d-%H%M%S")
 
 
-def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), incremental: bool = False, gate: Callable[[DataFrame], object] | None = None) -> object:
+class Published(NamedTuple):
+    """Rows written, and what the gate gave."""
+
+    rows: int
+    gate: object
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """`df`, whose rows are counted while something else is done with them."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def _children(spark: SparkSession, path: str, start: str) -> list[str]:
+    """Names in a folder that begin with `start`."""
+    fs, p = _fs(spark, path)
+    return [n for st in (fs.listStatus(p) if fs.exists(p) else []) if (n := st.getPath().getName()).startswith(start)]
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo a publish that ended between its moves: what had been moved aside goes back where nothing took its place.
+    A table has one writer at a time."""
+    base, _, name = path.rstrip("/").rpartition("/")
+    if not exists(spark, path):
+        for old in _children(spark, base, f"{name}.old-")[:1]:
+            _rename(spark, join_uri(base, old), path)
+    for old in _children(spark, path, "_old-"):
+        aside = join_uri(path, old)
+        depth = 1
+        while parts := _partition_dirs(spark, aside, depth):
+            for part in parts:
+                inner = _children(spark, join_uri(aside, part), "")
+                if not any("=" in x for x in inner) and not exists(spark, join_uri(path, part)):
+                    _rename(spark, join_uri(aside, part), join_uri(path, part))
+            depth += 1
+        remove(spark, aside)
+
+
+def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), incremental: bool = False, gate: Callable[[DataFrame], object] | None = None) -> Published:
     """Writes `df` as the table at `path`.
 
     The rows are first written to a staging directory beside it; `gate`, if any, sees the staged table and may raise,
     in which case the published table is as it was. A full publish then replaces the directory, so no partition of an
-    earlier run survives; an incremental one replaces only the partitions that `df` has. Returns what the gate gave."""
+    earlier run survives; an incremental one replaces only the partitions that `df` has. What is replaced is moved
+    aside before it is deleted, so that `recover` (called here and by read_table) finds it after a crash."""
     spark = df.sparkSession
+    recover(spark, path)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:12]}"
-    writer = df.write
+    counted, seen = _counted(df)
+    writer = counted.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     try:
@@ -93,24 +135,26 @@ def publish(df: DataFrame, path: str, partition_by: Sequence[str] = (), incremen
         staged = spark.read.schema(df.schema).parquet(staging)
         told = gate(staged) if gate else None
         if incremental and partition_by:
+            old = join_uri(path, f"_old-{uuid.uuid4().hex[:12]}")
             for part in _partition_dirs(spark, staging, len(partition_by)):  # moved, not written again
-                remove(spark, join_uri(path, part))
+                if exists(spark, join_uri(path, part)):
+                    _rename(spark, join_uri(path, part), join_uri(old, part))
                 _rename(spark, join_uri(staging, part), join_uri(path, part))
         else:
             old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
-            had = exists(spark, path)
-            if had:
+            if exists(spark, path):
                 _rename(spark, path, old)
             _rename(spark, staging, path)
-            if had:
-                remove(spark, old)
-        return told
+        remove(spark, old)
+        return Published(seen.get["n"], told)
     finally:
         remove(spark, staging)
 
 
 def read_table(spark: SparkSession, warehouse: str, layer: str, table: str) -> DataFrame:
-    return spark.read.parquet(join_uri(warehouse, layer, table))
+    path = join_uri(warehouse, layer, table)
+    recover(spark, path)
+    return spark.read.parquet(path)
 
 
 def table_exists(spark: SparkSession, warehouse: str, layer: str, table: str) -> bool:
@@ -134,8 +178,9 @@ def run_sql(spark: SparkSession, text: str, **params: object) -> DataFrame:
 
 def quarantine(df: DataFrame, path: str, batch_column: str) -> int:
     """Keeps rejected rows by batch; a rerun of a batch replaces what it left before. Returns the number of rows."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_column).parquet(path)
-    return df.count()
+    counted, seen = _counted(df)
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_column).parquet(path)
+    return seen.get["n"]
 
 
 def append_manifest(reports: str, logical_date: str, record: dict) -> Path:
