@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perkline.contracts import compare, parse_contract
@@ -85,37 +85,44 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     return tag_rejects(valued, [("missing_amount", F.col("amount").isNull()), ("unknown_currency", F.col("usd_rate").isNull()), ("late", F.col("txn_date") > F.lit("2001-06-30").cast("date"))])
 
 
-def settled(spark: SparkSession, d: str) -> DataFrame:
-    valid, _ = split_valid(transactions(spark, d))
-    return valid.where(~F.col("is_refund")).withColumn("month", month_of("txn_date"))
+def valid(spark: SparkSession, d: str, refunds: bool) -> DataFrame:
+    """Valid transactions with their month; refunds only if asked for."""
+    rows, _ = split_valid(transactions(spark, d))
+    return (rows if refunds else rows.where(~F.col("is_refund"))).withColumn("month", month_of("txn_date"))
 
 
-def matched(spark: SparkSession, d: str) -> DataFrame:
+def matched(spark: SparkSession, d: str, refunds: bool = False) -> DataFrame:
     shops = _t(spark, d, "part").select("p_partkey", F.lower(F.trim("p_type")).alias("category"))
-    rich = settled(spark, d).join(shops, F.col("merchant_id") == F.col("p_partkey"), "left").drop("p_partkey")
+    rich = valid(spark, d, refunds).join(shops, F.col("merchant_id") == F.col("p_partkey"), "left").drop("p_partkey")
     return best_match(rich, rules(spark), ["card_id", "category"], "txn_date", "since", "till", "multiplier", "rule_id", ["rule_id", "multiplier", "cap"])
 
 
-def capped(spark: SparkSession, d: str) -> DataFrame:
-    return allocate_capped(matched(spark, d), ["member_id", "card_id", "month", "rule_id"], ["txn_date", *KEY], "amount_usd", "cap", F.col("rule_id").isNotNull(), "eligible")
+def capped(spark: SparkSession, d: str, refunds: bool = False) -> DataFrame:
+    earns = F.col("rule_id").isNotNull() & ~F.col("is_refund")
+    return allocate_capped(matched(spark, d, refunds), ["member_id", "card_id", "month", "rule_id"], ["txn_date", *KEY], "amount_usd", "cap", earns, "eligible")
 
 
-def fact(spark: SparkSession, d: str) -> DataFrame:
+def fact(spark: SparkSession, d: str, refunds: bool = False) -> DataFrame:
     """Points and value; the base rate follows the card."""
     base = F.when(F.col("card_id") % 3 == 0, F.lit("1.00")).otherwise(F.lit("1.50")).cast("decimal(4,2)")
     points = F.col("amount_usd") * F.col("base") + F.col("eligible") * (F.coalesce(F.col("multiplier"), F.col("base").cast("decimal(6,2)")) - F.col("base"))
-    out = capped(spark, d).withColumn("eligible", F.col("eligible").cast(MONEY)).withColumn("base", base).withColumn("points", F.round(points.cast("decimal(26,4)"), 2).cast(MONEY))
+    out = capped(spark, d, refunds).withColumn("eligible", F.col("eligible").cast(MONEY)).withColumn("base", base).withColumn("points", F.round(points.cast("decimal(26,4)"), 2).cast(MONEY))
     return out.withColumn("value", F.round(F.col("points") * F.lit("0.0125").cast("decimal(6,4)"), 2).cast(MONEY))
 
 
+def monthly_fee(card: str = "card_id") -> Column:
+    return F.round((F.col(card) * 50).cast("decimal(12,2)") / 12, 2).cast(MONEY)
+
+
 def roi(spark: SparkSession, d: str) -> DataFrame:
-    by = ["member_id", "card_id", "month"]
-    earned = fact(spark, d).groupBy(*by).agg(F.count("*").alias("txn_count"), F.countDistinct("merchant_id").alias("merchant_count"), F.sum("amount_usd").cast(MONEY).alias("spend"), F.sum("points").cast(MONEY).alias("points"), F.sum("value").cast(MONEY).alias("value"), F.sum(F.when(F.col("rule_id").isNotNull(), F.col("amount_usd")).otherwise(F.lit(0).cast(MONEY))).cast(MONEY).alias("bonus_spend"))
-    valid, _ = split_valid(transactions(spark, d))
-    back = valid.where("is_refund").groupBy("member_id", "card_id", month_of("txn_date").alias("month")).agg(F.sum("amount_usd").cast(MONEY).alias("refund"))
-    both = earned.join(back, by, "left").withColumn("refund", F.coalesce("refund", F.lit(0).cast(MONEY)))
-    fee = F.round((F.col("card_id") * 50).cast("decimal(12,2)") / 12, 2).cast(MONEY)
-    both = both.withColumn("net_spend", (F.col("spend") + F.col("refund")).cast(MONEY)).withColumn("fee", fee).withColumn("net_value", (F.col("value") - F.col("fee")).cast(MONEY))
+    """Earned and refunded sides from one pass over the facts."""
+    own = ~F.col("is_refund")
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0).cast(MONEY)).cast(MONEY)
+    both = fact(spark, d, refunds=True).groupBy("member_id", "card_id", "month").agg(
+        F.count_if(own).alias("txn_count"), F.countDistinct(F.when(own, F.col("merchant_id"))).alias("merchant_count"), total("amount_usd", own).alias("spend"), total("value", own).alias("value"),
+        total("amount_usd", own & F.col("rule_id").isNotNull()).alias("bonus_spend"), total("amount_usd", ~own).alias("refund"),
+    ).where("txn_count > 0")
+    both = both.withColumn("net_spend", (F.col("spend") + F.col("refund")).cast(MONEY)).withColumn("fee", monthly_fee()).withColumn("net_value", (F.col("value") - F.col("fee")).cast(MONEY))
     both = both.withColumn("verdict", F.when((F.col("net_value") >= 0) | (F.col("fee") == 0), "keep").otherwise("review"))
     return rank_by(both, ["month"], [F.col("net_value").desc()], "value_rank").withColumn("value_rank", F.col("value_rank").cast("long"))
 
@@ -197,7 +204,7 @@ def q13_points_fact(spark, d):
 
 def q14_roi_monthly(spark, d):
     out = roi(spark, d)
-    return _doubles(out.withColumn("return_pct", ratio("value", "spend", 100, 3)).withColumn("roi", F.when(F.col("fee") > 0, ratio("value", "fee", 1, 3))).drop("points"))
+    return _doubles(out.withColumn("return_pct", ratio("value", "spend", 100, 3)).withColumn("roi", F.when(F.col("fee") > 0, ratio("value", "fee", 1, 3))))
 
 
 def q15_category_share(spark, d):
@@ -207,11 +214,22 @@ def q15_category_share(spark, d):
 
 
 def q16_member_summary(spark, d):
-    f = fact(spark, d)
-    whole = f.groupBy("member_id").agg(F.count("*").alias("txn_count"), F.countDistinct("card_id").alias("card_count"), F.countDistinct("month").alias("active_months"), F.sum("amount_usd").cast(MONEY).alias("spend"), F.sum("value").cast(MONEY).alias("value"), F.min("txn_date").alias("first_day"), F.max("txn_date").alias("last_day"))
+    """One pass over the facts: they are summed by member, card, month and category, and one more shuffle, by member,
+    serves the sums by category and by card and the summary itself."""
+    sums = fact(spark, d).groupBy("member_id", "card_id", "month", "category").agg(F.count("*").alias("n"), F.sum("amount_usd").cast(MONEY).alias("spend"), F.sum("value").cast(MONEY).alias("value"), F.min("txn_date").alias("first"), F.max("txn_date").alias("last"))
+    by_category, by_card = Window.partitionBy("member_id", "category"), Window.partitionBy("member_id", "card_id")
+    own = sums.repartition("member_id").withColumn("category_spend", F.sum("spend").over(by_category).cast(MONEY))
+    net = F.sum("value").over(by_card) - monthly_fee() * F.size(F.collect_set("month").over(by_card))
+    own = own.withColumn("card_net", net.cast(MONEY))
+    best = lambda keep, by, name: F.min(F.when(keep, F.struct((-F.col(by)).alias("down"), F.col(name).alias("name")))).alias(name)
+    count = lambda c: F.size(F.collect_set(c)).cast("long")
+    out = own.groupBy("member_id").agg(
+        F.sum("n").alias("txn_count"), count("card_id").alias("card_count"), count("month").alias("active_months"), F.sum("spend").cast(MONEY).alias("spend"), F.sum("value").cast(MONEY).alias("value"), F.min("first").alias("first_day"), F.max("last").alias("last_day"),
+        best(F.col("category").isNotNull(), "category_spend", "category"), best(F.lit(True), "card_net", "card_id"),
+    )
     tier = F.when(F.col("spend") >= 2000000, "platinum").when(F.col("spend") >= 800000, "gold").when(F.col("spend") >= 200000, "silver").otherwise("bronze")
-    out = whole.join(q17_top_category(spark, d), "member_id", "left").join(q18_best_card(spark, d), "member_id", "left")
-    return _doubles(out.withColumn("return_pct", ratio("value", "spend", 100, 3)).withColumn("tier", tier))
+    tops = {"top_category": F.col("category.name"), "category_spend": -F.col("category.down"), "best_card": F.col("card_id.name"), "card_net": -F.col("card_id.down")}
+    return _doubles(out.withColumns(tops).drop("category", "card_id").withColumn("return_pct", ratio("value", "spend", 100, 3)).withColumn("tier", tier))
 
 
 def q17_top_category(spark, d):
@@ -220,7 +238,8 @@ def q17_top_category(spark, d):
 
 
 def q18_best_card(spark, d):
-    sums = roi(spark, d).groupBy("member_id", "card_id").agg(F.sum("net_value").cast(MONEY).alias("card_net"))
+    """The fee is due for each month with a fact, so months are counted, not listed."""
+    sums = fact(spark, d).groupBy("member_id", "card_id").agg((F.sum("value") - monthly_fee() * F.countDistinct("month")).cast(MONEY).alias("card_net"))
     return _doubles(top1_by(sums, ["member_id"], [F.col("card_net").desc(), F.col("card_id")]).withColumnRenamed("card_id", "best_card"))
 
 
