@@ -52,8 +52,8 @@ from perkline.llm.common import WordHashes, ascii_words, cols_of, drop_stash, fr
 SHORT, BUCKET_ENTRIES, HOLD = 8, 1_000_000, 1_000_000
 #: Cost of a list entry in subset entries.
 SCAN = 4
-#: Sets of a cell in the comparison of long lists.
-CELL = 400
+#: Longest list of the prefix filter that gives pairs of ids; sets of a cell in the comparison of longer ones.
+BRIEF, CELL = 32, 400
 #: A bit filter has so many bits for each id; up to so many ids one is used (32 MB), beyond that a semi join.
 FILTER_SHARE, FILTER_IDS = 16, 1 << 24
 #: Bytes of text for a shingle, about; entries in the index for a shingle, about.
@@ -489,13 +489,18 @@ def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return stash(picked.mapInArrow(lean(_set_rows(bits)), "id long, shingles binary"))
 
 
-def verify(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link; rows: (doc_id, text). The side of a pair that occurs most often, the
-    head of a long list, is joined by join_heavy."""
-    sets = _sets_of(rows, stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (id, shingles) link; pairs are distinct, and stashed. The side of a pair that may
+    occur most often, the head of a long list, is joined by join_heavy."""
     heads = stash(pairs.groupBy("a").agg(F.count("*").alias("w")).join(sets.toDF("a", "sa"), "a"))
     met = pairs.join(sets.toDF("b", "sb"), "b").select("a", "b", "sb")
-    out = stash(join_heavy(met, heads, ["a"], "w").select("a", "b", "sa", "sb").mapInArrow(lean(_overlaps), "a long, b long").distinct())
+    return stash(join_heavy(met, heads, ["a"], "w").select("a", "b", "sa", "sb").mapInArrow(lean(_overlaps), "a long, b long").distinct())
+
+
+def verify(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets link; rows: (doc_id, text)."""
+    sets = _sets_of(rows, stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    out = linked(sets, pairs)
     drop_stash(sets)
     return out
 
@@ -565,7 +570,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def meetings(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(token, rep, n, comp): the lists of a prefix filter over members (rep, n, comp) that hold several components.
+    """(token, rep, n, comp, size): the lists of a prefix filter over members (rep, n, comp) that hold several components,
+    with their size.
 
     Shingles are ordered by how many members hold them: a set's rarest fifth, and one more, must hold one that a linked
     set has there too. Shingles of one set alone count as rarest and make no list, so members that only share common
@@ -575,7 +581,7 @@ def meetings(sets: DataFrame, members: DataFrame) -> DataFrame:
     ranked = join_heavy(own, often, ["token"], "w").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t")).join(members, "rep")
     lead = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - (F.col("n") - F.size("t"))  # without the shingles that it has alone
     lists = stash(ranked.where(lead > 0).select("rep", "n", "comp", F.explode(F.slice("t", F.lit(1), lead.cast("int"))).alias("t")).select(F.col("t.token").alias("token"), "rep", "n", "comp"))
-    mixed = stash(lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).where("lo != hi").select("token", "w"))
+    mixed = stash(lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).where("lo != hi").select("token", "w", F.col("w").alias("size")))
     drop_stash(own)
     return stash(join_heavy(lists, mixed, ["token"], "w"))
 
@@ -584,21 +590,28 @@ def family_links(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Links among members (rep, n, comp), the sets of long lists that lie in several components: enough links to
     connect what is linked.
 
-    Lists of the prefix filter are cut by size classes and, within these, by a hash, into cells of about CELL sets; each
-    pair of cells whose sizes can link is one task, which joins the two in memory and gives only the links."""
+    Short lists of the prefix filter give the pairs of ids that may link, each verified once. The others are cut by size
+    classes and, within these, by a hash, into cells of about CELL sets; each pair of cells whose sizes can link is one
+    task, which joins the two in memory and gives only the links."""
     sets = _sets_of(rows, members.select(F.col("rep").alias("id")))
+    lists = meetings(sets, members)
+    brief = lists.where(F.col("size") <= BRIEF)
+    left, right = (brief.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}")) for x in "ab")
+    pairs = left.join(right, "token").where("a < b and ca != cb and 100 * least(na, nb) >= 80 * greatest(na, nb)").select("a", "b").distinct()
+    near = linked(sets, stash(pairs))
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.26)))  # sizes within 1.25: same or next class
-    lists = meetings(sets, members).withColumn("cls", size_class)
+    lists = lists.where(F.col("size") > BRIEF).drop("size").withColumn("cls", size_class)
     cells = stash(lists.groupBy("token", "cls").agg(F.ceil(F.count("*") / CELL).alias("salts"), F.count("*").alias("w")))
     own = join_heavy(lists, cells, ["token", "cls"], "w").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
-    near = own.withColumn("other", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
-    meets = near.join(cells.select("token", F.col("cls").alias("other"), F.col("salts").alias("o_salts")), ["token", "other"]).withColumn("o_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_salts") - 1)))
+    spread = own.withColumn("other", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    meets = spread.join(cells.select("token", F.col("cls").alias("other"), F.col("salts").alias("o_salts")), ["token", "other"]).withColumn("o_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_salts") - 1)))
     me_low = (F.col("cls") < F.col("other")) | ((F.col("cls") == F.col("other")) & (F.col("salt") <= F.col("o_salt")))
     me_high = (F.col("cls") > F.col("other")) | ((F.col("cls") == F.col("other")) & (F.col("salt") >= F.col("o_salt")))
     pick = lambda a, b: F.when(me_low, F.col(a)).otherwise(F.col(b))
     work = meets.select("token", pick("cls", "other").alias("c1"), pick("salt", "o_salt").alias("s1"), pick("other", "cls").alias("c2"), pick("o_salt", "salt").alias("s2"), "rep", "comp", me_low.alias("low"), me_high.alias("high"))
     work = work.join(sets.withColumnRenamed("id", "rep"), "rep")
-    out = stash(work.groupBy("token", "c1", "s1", "c2", "s2").applyInArrow(lean_group(_block), "a long, b long").distinct())
+    found = work.groupBy("token", "c1", "s1", "c2", "s2").applyInArrow(lean_group(_block), "a long, b long")
+    out = stash(found.unionByName(near).distinct())
     drop_stash(sets)
     return out
 

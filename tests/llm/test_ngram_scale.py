@@ -31,11 +31,12 @@ def test_five_thousand_sets_around_one_passage_do_not_meet(spark):
     assert {r.rep for r in met.select("rep").distinct().collect()} == {7, 9000} and met.count() <= 2 * 17
 
 
-@pytest.mark.parametrize("heavy", [1, 10])
-def test_hot_classes_hubs_and_lists_split(spark, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "brief"), [(1, 32), (10, 2)])
+def test_hot_classes_hubs_and_lists_split(spark, monkeypatch, heavy, brief):
     """The same results when nearly every key is treated as heavy, and when tasks send what they hold early."""
     monkeypatch.setattr(common, "HEAVY_ROWS", heavy)
     monkeypatch.setattr(ngram_join, "HOLD", 2000)
+    monkeypatch.setattr(ngram_join, "BRIEF", brief)
     rng = random.Random(heavy)
     pool = [f"t{i}" for i in range(3000)]
     base = rng.choices(pool, k=90)
