@@ -435,14 +435,38 @@ def _wanted(bits: np.ndarray):
     return keep
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of some equal ranges of the hash, whether the set has an odd number of shingles there: bits, twice as many
+    as shingles, a power of two. Two sets' sketches differ in no more places than the sets."""
+    width = max(6, (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((mix64(s) >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width).astype(np.uint8) & 1).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the places in which two sets differ, from their sketches; the longer is folded to the shorter."""
+    short, long = sorted((np.unpackbits(np.frombuffer(z, np.uint8)) for z in (x, y)), key=len)
+    while len(long) > len(short):
+        long = long[::2] ^ long[1::2]
+    return int((short ^ long).sum())
+
+
 def _set_rows(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, _wanted(bits.value) if bits else None):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "sketch", "shingles"])
 
     return run
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sizes, sketches) -> the pairs (a, b) that their sketches allow to link."""
+    for b in slices(batches):
+        s, t = (b.column(i).to_numpy() for i in (2, 3))
+        far = np.array([apart_at_least(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], np.int64)
+        fits = (100 * np.minimum(s, t) >= 80 * np.maximum(s, t)) & (far <= (s + t) // 9)
+        yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(fits))
+
+
 def _filter_words(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """ids -> (word, bits) of the filter, one row for each 64-bit word that a task touches."""
@@ -484,17 +508,25 @@ def _picked(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in `ids`, and some others: built again in a scan, so texts are not shuffled."""
+    """(id, n, sketch, shingles) of the documents in `ids`, and some others: built again in a scan, so texts are not
+    shuffled."""
     picked, bits = _picked(rows, ids)
-    return stash(picked.mapInArrow(lean(_set_rows(bits)), "id long, shingles binary"))
+    return stash(picked.mapInArrow(lean(_set_rows(bits)), "id long, n long, sketch binary, shingles binary"))
 
 
 def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (id, shingles) link; pairs are distinct, and stashed. The side of a pair that may
-    occur most often, the head of a long list, is joined by join_heavy."""
-    heads = stash(pairs.groupBy("a").agg(F.count("*").alias("w")).join(sets.toDF("a", "sa"), "a"))
-    met = pairs.join(sets.toDF("b", "sb"), "b").select("a", "b", "sb")
-    return stash(join_heavy(met, heads, ["a"], "w").select("a", "b", "sa", "sb").mapInArrow(lean(_overlaps), "a long, b long").distinct())
+    """The pairs (a, b) whose sets (id, n, sketch, shingles) link; pairs are distinct, and stashed. Sketches go first:
+    whole sets are shuffled only for pairs that may link. The side of a pair that may occur most often, the head of a
+    long list, is joined by join_heavy."""
+
+    def with_both(pairs: DataFrame, *what: str) -> DataFrame:
+        side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(c + x) for c in what])
+        heads = stash(pairs.groupBy("a").agg(F.count("*").alias("w")).join(side("a"), "a"))
+        met = pairs.join(side("b"), "b").select("a", "b", *[c + "b" for c in what])
+        return join_heavy(met, heads, ["a"], "w").select("a", "b", *[c + x for c in what for x in "ab"])
+
+    near = stash(with_both(pairs, "n", "sketch").mapInArrow(lean(_near), "a long, b long").distinct())
+    return stash(with_both(near, "shingles").mapInArrow(lean(_overlaps), "a long, b long").distinct())
 
 
 def verify(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -560,6 +592,26 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
 
+def _block_near(table: pa.Table) -> pa.Table:
+    """The rows of a block whose sketch allows a link to a set of another component on the block's other side."""
+    n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
+    low, high = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("low", "high"))
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in table.column("sketch").to_pylist()]
+    width = min(map(len, bits))
+    folded = np.empty((len(bits), width // 8), np.uint8)
+    for i, x in enumerate(bits):
+        while len(x) > width:
+            x = x[::2] ^ x[1::2]
+        folded[i] = np.packbits(x)
+    keep = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        other = (comp != comp[i]) & (low & high[i] | high & low[i]) & (100 * np.minimum(n, n[i]) >= 80 * np.maximum(n, n[i]))
+        at = np.flatnonzero(other)
+        if len(at):
+            keep[i] = (np.bitwise_count(folded[at] ^ folded[i]).sum(1, dtype=np.int64) <= (n[at] + n[i]) // 9).any()
+    return table.drop_columns(["n", "sketch"]).filter(pa.array(keep))
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, shingles) -> (rep, token), one row for each shingle."""
     for b in slices(batches):
@@ -576,7 +628,7 @@ def meetings(sets: DataFrame, members: DataFrame) -> DataFrame:
     Shingles are ordered by how many members hold them: a set's rarest fifth, and one more, must hold one that a linked
     set has there too. Shingles of one set alone count as rarest and make no list, so members that only share common
     passages do not meet."""
-    own = stash(sets.join(members.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(lean(_tokens), "rep long, token long"))
+    own = stash(sets.select("id", "shingles").join(members.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(lean(_tokens), "rep long, token long"))
     often = stash(own.groupBy("token").agg(F.count("*").alias("often")).where("often > 1").withColumn("w", F.col("often")))
     ranked = join_heavy(own, often, ["token"], "w").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t")).join(members, "rep")
     lead = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - (F.col("n") - F.size("t"))  # without the shingles that it has alone
@@ -592,7 +644,7 @@ def family_links(rows: DataFrame, members: DataFrame) -> DataFrame:
 
     Short lists of the prefix filter give the pairs of ids that may link, each verified once. The others are cut by size
     classes and, within these, by a hash, into cells of about CELL sets; each pair of cells whose sizes can link is one
-    task, which joins the two in memory and gives only the links."""
+    task, which compares sketches first, and then joins the sets that are left in memory and gives only the links."""
     sets = _sets_of(rows, members.select(F.col("rep").alias("id")))
     lists = meetings(sets, members)
     brief = lists.where(F.col("size") <= BRIEF)
@@ -609,8 +661,11 @@ def family_links(rows: DataFrame, members: DataFrame) -> DataFrame:
     me_high = (F.col("cls") > F.col("other")) | ((F.col("cls") == F.col("other")) & (F.col("salt") >= F.col("o_salt")))
     pick = lambda a, b: F.when(me_low, F.col(a)).otherwise(F.col(b))
     work = meets.select("token", pick("cls", "other").alias("c1"), pick("salt", "o_salt").alias("s1"), pick("other", "cls").alias("c2"), pick("o_salt", "salt").alias("s2"), "rep", "comp", me_low.alias("low"), me_high.alias("high"))
-    work = work.join(sets.withColumnRenamed("id", "rep"), "rep")
-    found = work.groupBy("token", "c1", "s1", "c2", "s2").applyInArrow(lean_group(_block), "a long, b long")
+    block, kept = ["token", "c1", "s1", "c2", "s2"], "token long, c1 long, s1 long, c2 long, s2 long, rep long, comp long, low boolean, high boolean"
+    near_rows = work.join(sets.select(F.col("id").alias("rep"), "n", "sketch"), "rep").select(*block, "rep", "comp", "low", "high", "n", "sketch")
+    work = stash(near_rows.groupBy(*block).applyInArrow(lean_group(_block_near), kept))
+    work = work.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    found = work.groupBy(*block).applyInArrow(lean_group(_block), "a long, b long")
     out = stash(found.unionByName(near).distinct())
     drop_stash(sets)
     return out

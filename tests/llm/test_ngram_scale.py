@@ -5,10 +5,12 @@ import random
 import brute
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from perkline.llm import common, ngram_join
-from perkline.llm.ngram_join import components, join_ngrams, meetings, scan_lists, shorten
+from perkline.llm.ngram_join import apart_at_least, components, join_ngrams, meetings, scan_lists, shorten, sketch
 
 
 def frame(spark, rows, parts=4):
@@ -98,3 +100,12 @@ def test_components_with_a_hub(spark, monkeypatch):
     edges = [(5, i) for i in range(6, 2000)] + [(1, 1999), (3000, 3001), (3001, 3002)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {5: 1, **dict.fromkeys(range(6, 2000), 1), 3001: 3000, 3002: 3000}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 300), st.integers(0, 300), st.integers(0, 300))
+def test_sketches_never_say_more_than_the_sets(seed, both, left, right):
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(0, 2**64, both, np.uint64)
+    a, b = (np.unique(np.concatenate([shared, rng.integers(0, 2**64, k, np.uint64)])) for k in (left, right))
+    assert apart_at_least(sketch(a), sketch(b)) <= len(np.setxor1d(a, b)) and apart_at_least(sketch(a), sketch(a)) == 0
