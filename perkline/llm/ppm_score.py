@@ -1,15 +1,15 @@
 """Language-model scoring by prediction by partial matching (PPM), with a unigram base score beside it.
 
-The model is a byte-context trie of depth ORDER = 4, learned from the training documents of the whole table: one
-scan counts all five-byte events and all words, and both counts are reduced by Spark. Every observed context is kept, at
+The model is a byte-context trie of depth ORDER, learned from the training documents of the whole table: one
+scan counts all events (a context of ORDER bytes and the byte behind it) and all words, and both counts are reduced by Spark. Every observed context is kept, at
 any size of the corpus. Lower depths count a symbol once for each longer context it followed (update exclusion).
 Escapes are estimated by method D (each symbol first seen in a context gives half an event to the escape); below a
 context, its symbols are excluded from the shorter ones (symbol exclusion); the last resort is uniform over the rest.
 The symbols of a context are among those of its shorter ones, so what is left of a shorter context below a longer one is
 a total and a number of symbols: escapes need these two for each context, and no table of symbols.
 
-Look-up: the events of depth 3 and 4 stay distributed, in buckets by the last three bytes of the context, which hold all
-that an event needs at both depths; events of depth 2 and less are 256 ** 3 at most and go to every task. Texts are
+Look-up: the events of depth 3 and more stay distributed, in buckets by the last three bytes of the context, which hold
+all that an event needs at these depths; events of depth 2 and less are 256 ** 3 at most and go to every task. Texts are
 packed in blocks of about BLOCK bytes; a block asks for each of its distinct events once, buckets answer with log
 probabilities in the order asked, and a block adds them up over its texts.
 Each text is coded from a start context to an end mark (byte 255, which UTF-8 never has).
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, lean, slices, stash, trim
 
-ORDER, FREQUENT = 4, 2.0**-18
+ORDER, FREQUENT = 5, 2.0**-18
 FOLDS, HELD = 7, 2
 PAD, END = b"\xff" * ORDER, b"\xff"
 #: The end of a text as a word: no word holds a space.
@@ -45,7 +45,7 @@ END_WORD = b" end"
 #: Distinct codes that a task gathers before it reduces them.
 GATHER = 8_000_000
 #: Bytes of text in a block; training events for which there is a bucket.
-BLOCK, BUCKET_EVENTS = 16 << 20, 8_000_000
+BLOCK, BUCKET_EVENTS = 32 << 20, 8_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -53,7 +53,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _events(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(five-byte codes of all events, starts and ends of each text among them); the codes between texts are no events."""
+    """(codes of all events, starts and ends of each text among them); the codes between texts are no events."""
     a = np.frombuffer(b"".join([PAD + t + END for t in texts]), np.uint8)
     code = a[:-ORDER].astype(np.uint64)
     for i in range(1, ORDER + 1):
@@ -151,10 +151,6 @@ class _Level:
         else:
             self.left_n = self.left_d = np.zeros(len(starts), np.int64)
 
-    def shorter(self) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, counts) of the events with one byte less, counted once for each longer context."""
-        return np.unique(self.events & (self.mask >> 8), return_counts=True)
-
 
 def short_levels(two: tuple) -> list[_Level]:
     """The levels of depth 2, 1 and 0 from (codes, counts) of all events behind two bytes."""
@@ -165,16 +161,19 @@ def short_levels(two: tuple) -> list[_Level]:
 
 
 class PpmModel:
-    """The counts of a set of events of depth 4 and 3, with all those of lower depths."""
+    """The counts of a set of events of full depth, with all those of the depths down to 3, and the short levels."""
 
-    def __init__(self, four: tuple, three: tuple, two: tuple | list[_Level]):
-        """(codes, counts) of events behind contexts of four, three and two bytes, or for the last their levels."""
-        low = short_levels(two) if isinstance(two, tuple) else two
-        mid = _Level(*three, low[0], 3)
-        self.levels = [_Level(*four, mid, 4), mid, *low]
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, low: list[_Level]):
+        """codes, counts: the events behind contexts of ORDER bytes; low: the levels of depth 2, 1 and 0."""
+        events = [(codes, counts)]
+        for depth in range(ORDER - 1, 2, -1):
+            events.append(np.unique(events[-1][0] & (1 << 8 * (depth + 1)) - 1, return_counts=True))
+        self.levels = low
+        for depth, (c, n) in zip(range(3, ORDER + 1), reversed(events), strict=True):
+            self.levels = [_Level(c, n, self.levels[0], depth), *self.levels]
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 probability of each five-byte event, by escape method D with symbol exclusion."""
+        """log10 probability of each event, by escape method D with symbol exclusion."""
         codes = codes.astype(np.int64)
         p, weight, out = np.ones(len(codes)), np.ones(len(codes)), np.zeros(len(codes), bool)
         left_n = left_d = np.zeros(len(codes), np.int64)
@@ -265,8 +264,7 @@ def _answer(low):
     """low: broadcast of the short levels. (events of a bucket with counts, what blocks ask of it) -> log probabilities."""
 
     def run(events: pa.Table, asks: pa.Table) -> pa.Table:
-        c5, n5 = events.column("code").to_numpy(), events.column("n").to_numpy()
-        model = PpmModel((c5, n5), np.unique(c5 & 0xFFFFFFFF, return_counts=True), low.value) if asks.num_rows else None
+        model = PpmModel(events.column("code").to_numpy(), events.column("n").to_numpy(), low.value) if asks.num_rows else None
         logs = []
         for x in asks.column("data").to_pylist():
             codes = np.zeros((len(x) // (ORDER + 1), 8), np.uint8)

@@ -16,7 +16,7 @@ from perkline.llm.fingerprint import MOST, bucket_counts, fingerprint, likeness
 from perkline.llm.language_id import document_fields, fit_text_model, identify, page_fields, visible_text
 from perkline.llm.ngram_join import LIGHT, block_links, components, misfits, need, scan_lists, signatures, subset_sizes
 from perkline.llm.piece_codec import DEFAULT_MODEL, PieceCodec, PieceModel, decode_pieces, encode_pieces
-from perkline.llm.ppm_score import PpmModel, context_table, held_out, score_documents
+from perkline.llm.ppm_score import ORDER, PpmModel, context_table, held_out, score_documents, short_levels
 from perkline.llm.queries import QUERIES
 from perkline.llm.topk_search import search_block
 
@@ -86,7 +86,7 @@ def test_op4_learns(spark, sf_dir):
 
 def test_ppm_backs_off_to_shorter_contexts():
     none = np.empty(0, np.int64)
-    m = PpmModel((none, none), (none, none), (none, none))
+    m = PpmModel(none, none, short_levels((none, none)))
     assert m.scores([b"ab"])[0] == pytest.approx(3 * np.log10(1 / 256))
 
 
@@ -189,16 +189,16 @@ def test_ppm_keeps_rare_contexts(spark):
     """Against dictionaries of counts, over more events than 2 ** 16 and contexts that occur once or never."""
     rng = np.random.default_rng(3)
     rows = [(i, " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9), p=[0.4, 0.3, 0.15, 0.1, 0.04, 0.01])) for _ in range(120))) for i in range(300)] + [(300, None), (None, "xyz abc"), (7, "abcab")]
-    coded = lambda t: b"\xff" * 4 + (t or "").encode() + b"\xff"
+    coded = lambda t: b"\xff" * ORDER + (t or "").encode() + b"\xff"
     deep: dict[bytes, dict[int, int]] = {}
     for i, t in rows:
         if not held_out(i):
             c = coded(t)
-            for k in range(4, len(c)):
-                at = deep.setdefault(c[k - 4 : k], {})
+            for k in range(ORDER, len(c)):
+                at = deep.setdefault(c[k - ORDER : k], {})
                 at[c[k]] = at.get(c[k], 0) + 1
     levels = [deep]
-    for _ in range(4):
+    for _ in range(ORDER):
         low: dict[bytes, dict[int, int]] = {}
         for ctx, symbols in levels[-1].items():
             at = low.setdefault(ctx[1:], {})
@@ -208,10 +208,10 @@ def test_ppm_keeps_rare_contexts(spark):
 
     def log(c):
         total = 0.0
-        for k in range(4, len(c)):
-            tables = np.zeros((5, 1, 256))
+        for k in range(ORDER, len(c)):
+            tables = np.zeros((ORDER + 1, 1, 256))
             for j, level in enumerate(levels):
-                for x, n in level.get(c[k - 4 + j : k], {}).items():
+                for x, n in level.get(c[k - ORDER + j : k], {}).items():
                     tables[j, 0, x] = n
             total += np.log10(context_table(list(tables))[0, c[k]])
         return total
