@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perkline.llm.common import WordHashes, ascii_words, drop_stash, free_shuffles, lean, slices, stash, trim
+from perkline.llm.common import SLICE_ROWS, WordHashes, ascii_words, drop_stash, free_shuffles, lean, slices, stash, trim
 
 ORDER, FREQUENT = 5, 2.0**-18
 FOLDS, HELD = 7, 2
@@ -63,14 +63,23 @@ def _events(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, starts, starts + sizes
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 class _Tally:
     """Counts of 64-bit codes, gathered as arrays and reduced now and then."""
 
     def __init__(self):
         self.codes, self.counts, self.size = [], [], 0
 
-    def add(self, codes: np.ndarray) -> None:
-        c, n = np.unique(codes, return_counts=True)
+    def add(self, codes: np.ndarray, in_order: bool = False) -> None:
+        codes = codes if in_order else np.sort(codes)
+        starts = _starts(codes)
+        c, n = codes[starts], np.diff(np.append(starts, len(codes)))
         self.codes.append(c)
         self.counts.append(n)
         self.size += len(c)
@@ -81,16 +90,24 @@ class _Tally:
     def reduced(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.codes:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        c, inv = np.unique(np.concatenate(self.codes), return_inverse=True)
-        return c, np.bincount(inv, np.concatenate(self.counts), len(c)).astype(np.int64)
+        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
+        order = np.argsort(codes)
+        starts = _starts(codes := codes[order])
+        return codes[starts], np.add.reduceat(counts[order], starts)
+
 
+#: Bits for the number of a text in a slice, below its event's code in one 64-bit number.
+TEXT_BITS = (SLICE_ROWS - 1).bit_length()
 
-def _real(code: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The codes that are events."""
+
+def _tagged(texts: list[bytes]) -> np.ndarray:
+    """(code, number of the text) of all events of a slice, packed in one number each, sorted: so the events of a code
+    stand together, and all look-ups go through tables in order."""
+    code, starts, ends = _events(texts)
     real = np.ones(len(code), bool)
     for e in ends[:-1]:
         real[e : e + ORDER] = False
-    return code[real]
+    return np.sort(code[real] << np.uint64(TEXT_BITS) | np.repeat(np.arange(len(texts), dtype=np.uint64), ends - starts))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not texts:
             continue
         words.add(np.concatenate([*(hashes.of(ascii_words(t)) for t in texts), np.full(len(texts), end, np.uint64)]))
-        code, starts, ends = _events([t.encode("utf-8", "surrogatepass") for t in texts])
-        grams.add(_real(code, ends))
+        grams.add(_codes(_bytes_of(texts)), True)
     for kind, tally in ((0, words), (1, grams)):
         codes, counts = tally.reduced()
         for i in range(0, len(codes), 1 << 17):
@@ -219,15 +235,21 @@ def _bytes_of(texts: list[str | None]) -> list[bytes]:
 
 def _asked(parts: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct events, the order in which they are asked for, their buckets in this order)."""
-    codes = np.unique(np.concatenate(parts))
+    codes = np.sort(np.concatenate(parts))
+    codes = codes[_starts(codes)]
     where = _buckets(codes, buckets)
     order = np.argsort(where, kind="stable")
     return codes, order, where[order]
 
 
+def _codes(texts: list[bytes]) -> np.ndarray:
+    """The codes of all events of a slice, sorted."""
+    return _tagged(texts) >> np.uint64(TEXT_BITS)
+
+
 def _distinct(batch: pa.RecordBatch) -> np.ndarray:
-    code, _, ends = _events(_bytes_of(batch.column(1).to_pylist()))
-    return pc.unique(pa.array(_real(code, ends))).to_numpy()
+    codes = _codes(_bytes_of(batch.column(1).to_pylist()))
+    return codes[_starts(codes)]
 
 
 def _ask(buckets: int):
@@ -277,14 +299,30 @@ def _answer(low):
     return run
 
 
+class _WordNumbers(dict):
+    """word -> a number in order of first sight, and the words' hashes by these numbers; for a limited number of words."""
+
+    def __init__(self):
+        self.hashes = WordHashes()
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.of = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.of.append(self.hashes[word])
+        n = self[word] = len(self.of) - 1
+        return n
+
+
 def _score(data, buckets: int):
     """data: broadcast of (frequent hashes sorted, their counts). (packed texts of a block, answers to it) -> rows."""
     rare_type = pa.struct([("h", pa.int64()), ("m", pa.int32())])
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         known, counts = data.value
-        logs, hashes = np.log10(counts + 1.0), WordHashes()
-        end = hashes[END_WORD]
+        logs, numbers = np.log10(counts + 1.0), _WordNumbers()
         read = lambda: (pa.ipc.open_stream(x).read_next_batch() for x in packed.column("data").to_pylist())
         events, order, _ = _asked([_distinct(b) for b in read()], buckets)
         told = answers.sort_by("bucket").column("logs").to_pylist()
@@ -293,24 +331,28 @@ def _score(data, buckets: int):
         done = []
         for b in read():
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            code, starts, ends = _events(_bytes_of(texts))
-            coded = pa.array(code).dictionary_encode()
-            # codes between texts are no events and were not asked for; _sums leaves their places out
-            each = likely[_find(events, coded.dictionary.to_numpy())[0]][coded.indices.to_numpy()]
-            total, sums, got, rare_h, rare_m, stops = [], [], [], [], [], [0]
-            for t in texts:
-                w = hashes.of(ascii_words(t))
-                total.append(len(w) + 1)
-                h, m = np.unique(np.append(w, np.uint64(end)), return_counts=True)
-                at, hit = _find(known, h)
-                sums.append(float((logs[at[hit]] * m[hit]).sum()))
-                got.append(int(m[hit].sum()))
-                rare_h.append(h[~hit])
-                rare_m.append(m[~hit])
-                stops.append(stops[-1] + len(rare_h[-1]))
-            rare = pa.StructArray.from_arrays([pa.array(np.concatenate(rare_h).view(np.int64)), pa.array(np.concatenate(rare_m).astype(np.int32))], fields=list(rare_type))
-            out = [b.column(0), pa.array([held_out(i) for i in ids]), pa.array(total, pa.int64()), pa.array(sums, pa.float64()), pa.array(got, pa.int64())]
-            out += [pa.array(_sums(each, starts, ends)), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), rare)]
+            tagged = _tagged(_bytes_of(texts))
+            code = tagged >> np.uint64(TEXT_BITS)
+            starts = _starts(code)
+            each = np.repeat(likely[np.searchsorted(events, code[starts])].astype(np.float64), np.diff(np.append(starts, len(code))))
+            score = np.bincount((tagged & np.uint64(SLICE_ROWS - 1)).astype(np.int64), each, len(texts))
+            # words: runs of (text, number of the word)
+            cut = [[*ascii_words(t), END_WORD] for t in texts]
+            if len(numbers) > WordHashes.LIMIT:
+                numbers.clear()
+            total = np.fromiter(map(len, cut), np.int64, len(cut))
+            word = np.fromiter((n for w in cut for n in map(numbers.__getitem__, w)), np.int64, int(total.sum()))
+            word = np.sort(np.repeat(np.arange(len(cut)) << 32, total) | word)
+            starts = _starts(word)
+            text, word, m = word[starts] >> 32, word[starts] & 0xFFFFFFFF, np.diff(np.append(starts, len(word)))
+            hashes = np.array(numbers.of, np.uint64)
+            at, hit = _find(known, hashes)
+            gain = np.where(hit, logs[at], 0.0) if len(logs) else np.zeros(len(hashes))
+            some = ~hit[word]
+            stops = np.append(0, np.cumsum(np.bincount(text[some], minlength=len(texts))))
+            rare = pa.StructArray.from_arrays([pa.array(hashes[word[some]].view(np.int64)), pa.array(m[some].astype(np.int32))], fields=list(rare_type))
+            out = [b.column(0), pa.array([held_out(i) for i in ids]), pa.array(total), pa.array(np.bincount(text, gain[word] * m, len(texts))), pa.array(np.bincount(text, hit[word] * m, len(texts)).astype(np.int64))]
+            out += [pa.array(score), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), rare)]
             done.append(pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "n_tokens", "sum_known", "n_found", "score", "rare"]))
         trim()
         return pa.Table.from_batches(done)
