@@ -238,7 +238,7 @@ def _drop_all() -> None:
             pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that a slice has few rows and, by column `text`, few bytes (one long row stands alone)."""
     for b in batches:
         if text is None:
@@ -249,7 +249,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int
         i = 0
         while i < b.num_rows:
             total, j = 0.0, i
-            while j < b.num_rows and j - i < rows and (j == i or total + sizes[j] <= SLICE_BYTES):
+            while j < b.num_rows and j - i < rows and (j == i or total + sizes[j] <= size):
                 total += sizes[j]
                 j += 1
             yield b.slice(i, j - i)

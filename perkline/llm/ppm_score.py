@@ -44,8 +44,8 @@ PAD, END = b"\xff" * ORDER, b"\xff"
 END_WORD = b" end"
 #: Distinct codes that a task gathers before it reduces them.
 GATHER = 8_000_000
-#: Bytes of text in a block; training events for which there is a bucket.
-BLOCK, BUCKET_EVENTS = 32 << 20, 8_000_000
+#: Bytes of text in a block, and in a slice of it; training events for which there is a bucket.
+BLOCK, PIECE, BUCKET_EVENTS = 24 << 20, 1 << 20, 8_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -113,7 +113,7 @@ def _tagged(texts: list[bytes]) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, words, grams = WordHashes(), _Tally(), _Tally()
     end = hashes[END_WORD]
-    for b in slices(batches, text=1):
+    for b in slices(batches, text=1, size=PIECE):
         texts = [t or "" for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(i)]
         if not texts:
             continue
@@ -266,7 +266,7 @@ def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = pa.ipc.IpcWriteOptions(compression="zstd")
         block, size, held = TaskContext.get().partitionId() << 32, 0, []
-        for b in slices(batches, text=1):
+        for b in slices(batches, text=1, size=PIECE):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema, options=how) as w:
                 w.write_batch(b)
