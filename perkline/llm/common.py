@@ -52,10 +52,22 @@ def trim() -> None:
         pass
 
 
-def lean(run: Callable) -> Callable:
-    """`run` over Arrow batches, its memory given back when the task ends."""
+#: What operators keep in a Python worker between tasks: name -> how to forget it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def _forget(but: str | None) -> None:
+    """Workers go from operator to operator; only the one at work keeps what it remembers."""
+    for name, clear in CACHES.items():
+        if name != but:
+            clear()
+
+
+def lean(run: Callable, cache: str | None = None) -> Callable:
+    """`run` over Arrow batches, its memory given back when the task ends, but for the named cache."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget(cache)
         yield from run(batches)
         trim()
 
@@ -66,6 +78,7 @@ def lean_group(run: Callable) -> Callable:
     """The same for a function of a group's table."""
 
     def inner(table: pa.Table) -> pa.Table:
+        _forget(None)
         out = run(table)
         trim()
         return out

@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perkline.llm.common import join_heavy, lean, slices, small_side, stash
@@ -131,6 +132,34 @@ def _evidence(data):
     return run
 
 
+def _fuse(langs: list[str], total: list[float], with_code: list[float], codes: int):
+    """Posteriors from a row's evidence and the sums that concern it, without the row's own share in these."""
+    names, k = np.array(langs, object), len(langs)
+    whole, coded = np.array(total), np.array(with_code)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, said = b.column(4).to_numpy(zero_copy_only=False).astype(bool), b.column(9)
+            ll, vote, suffix, host = (b.column(i).flatten().to_numpy().reshape(-1, k) for i in (5, 6, 7, 8))
+            prior = np.full((len(text), k), 1.0 / k)
+            for sums, weight in ((np.broadcast_to(whole, vote.shape), float(k)), (suffix, STRENGTH), (host, STRENGTH)):  # all rows -> suffix -> host
+                others = np.maximum(sums - vote, 0.0)
+                prior = (others + weight * prior) / (np.maximum(sums.sum(1) - text, 0.0)[:, None] + weight)
+            post = ll + np.log(prior)
+            has = pc.list_value_length(said).to_numpy(zero_copy_only=False) > 0
+            if has.any():
+                same, own = said.flatten().to_numpy().reshape(-1, k), vote[has]
+                post[has] += np.log((np.maximum(same - own, 0.0) + 0.5) / (np.maximum(coded - own, 0.0) + 0.5 * codes))
+            post[:, -1] += np.log(UND_PRIOR)
+            best = post.argmax(1)
+            share = 1.0 / np.exp(post - post.max(1, keepdims=True)).sum(1)
+            told = [np.where(text, names[x], "und") for x in (best, ll.argmax(1))]
+            cols = [b.column(0), b.column(1), pa.array(told[0], pa.string()), pa.array(np.where(text, share, 0.0)), pa.array(told[1], pa.string()), b.column(2), b.column(3)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "markup", "lang", "probability", "text_lang", "declared", "host"])
+
+    return run
+
+
 def page_fields(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """id, text (the html), markup, declared, host, suffix of web pages."""
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -164,22 +193,6 @@ def identify(fields: DataFrame, model: TextModel) -> DataFrame:
     with_code = [sum(v[i] for d, v in matrix.items() if d) for i in kinds]
     by_code = F.broadcast(spark.createDataFrame([(d, v) for d, v in matrix.items() if d], "declared string, said array<double>"))
     both = join_heavy(told, level, ["host", "suffix"], "rows").join(by_code, "declared", "left")
-    # hierarchy without the row itself: all rows -> suffix -> host
-    index, one = F.sequence(F.lit(0), F.lit(len(langs) - 1)), F.col("any_text").cast("double")
-    fixed = lambda values: F.array(*[F.lit(float(x)) for x in values])
-    summed = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    others = lambda c, i: F.greatest(F.lit(0.0), F.get(c, i) - F.get(F.col("vote"), i))
-    weigh = lambda c, n, above, s: F.transform(index, lambda i: (others(c, i) + s * above(i)) / (F.greatest(F.lit(0.0), n - one) + s))
-    both = both.withColumn("prior", weigh(fixed(total), F.lit(float(sum(total))), lambda i: F.lit(1.0 / len(langs)), float(len(langs))))
-    for c in ("at_suffix", "at_host"):
-        both = both.withColumn("n", summed(F.col(c))).withColumn("prior", weigh(F.col(c), F.col("n"), lambda i: F.get(F.col("prior"), i), STRENGTH))
-    codes = 0.5 * sum(1 for d in matrix if d)
-    said = lambda i: F.when(F.col("said").isNull(), 0.0).otherwise(F.log((others(F.col("said"), i) + 0.5) / (others(fixed(with_code), i) + codes)))
-    und = lambda i: F.when(i == len(langs) - 1, float(np.log(UND_PRIOR))).otherwise(0.0)
-    out = both.withColumn("post", F.transform(index, lambda i: F.get(F.col("ll"), i) + said(i) + F.log(F.get(F.col("prior"), i)) + und(i)))
-    names: Column = F.array(*[F.lit(x) for x in langs])
-    pick = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
-    lang = F.when(F.col("any_text"), pick(F.col("post"))).otherwise("und")
-    share = F.when(F.col("any_text"), 1.0 / summed(F.transform("post", lambda x: F.exp(x - F.array_max("post"))))).otherwise(0.0)
-    out = out.select("id", "markup", lang.alias("lang"), share.alias("probability"), F.when(F.col("any_text"), pick(F.col("ll"))).otherwise("und").alias("text_lang"), "declared", "host")
+    parts = both.select("id", "markup", "declared", "host", "any_text", "ll", "vote", "at_suffix", "at_host", F.coalesce("said", F.array().cast("array<double>")).alias("said"))
+    out = parts.mapInArrow(lean(_fuse(langs, total, with_code, sum(1 for d in matrix if d))), "id long, markup boolean, lang string, probability double, text_lang string, declared string, host string")
     return out.withColumn("rejected", F.col("lang") == "und")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkline.llm.common import lean, slices
+from perkline.llm.common import CACHES, lean, slices
 
 MARK = "▁"
 # Piece types and model types of the protobuf.
@@ -256,6 +256,9 @@ def _judge(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
+CACHES["pieces"] = lambda: (codec.cache_clear(), _judge.cache_clear())
+
+
 def read_model(spark: SparkSession, path: str = DEFAULT_MODEL) -> bytes:
     """The model's bytes: from a file of the driver, else by Spark's reader. A model file is a few MB at most."""
     if os.path.exists(path):
@@ -295,7 +298,7 @@ def encode_pieces(docs: DataFrame, model: str = DEFAULT_MODEL, verify_every: int
     spark = docs.sparkSession
     data = spark.sparkContext.broadcast(read_model(spark, model))
     schema = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean" + ", pieces array<int>" * keep_ids
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_coded(data, verify_every, keep_ids)), schema)
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(_coded(data, verify_every, keep_ids), "pieces"), schema)
 
 
 def decode_pieces(coded: DataFrame, model: str = DEFAULT_MODEL, doc: str = "doc_id", pieces: str = "pieces") -> DataFrame:
@@ -308,4 +311,4 @@ def decode_pieces(coded: DataFrame, model: str = DEFAULT_MODEL, doc: str = "doc_
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(np.array(x or [], np.int32)) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return coded.select(F.col(doc).cast("long").alias("doc_id"), F.col(pieces).cast("array<int>").alias("pieces")).mapInArrow(lean(run), "doc_id long, text string")
+    return coded.select(F.col(doc).cast("long").alias("doc_id"), F.col(pieces).cast("array<int>").alias("pieces")).mapInArrow(lean(run, "pieces"), "doc_id long, text string")
