@@ -138,6 +138,11 @@ def cols_of(names: list[str]) -> list:
     return [F.col(quoted(c)) for c in names]
 
 
+def replaced(df: DataFrame, **new: Column) -> DataFrame:
+    """`df` with some of its columns computed anew, whatever the names of the others hold."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(quoted(c)) for c in df.columns])
+
+
 #: Plans through which a row of a file stays one row.
 _PLAIN = ("Project", "Filter", "SubqueryAlias", "LogicalRelation")
 

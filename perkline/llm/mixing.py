@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perkline.llm.common import cols_of, fresh, keyed, quoted, stash
+from perkline.llm.common import cols_of, fresh, keyed, quoted, replaced, stash
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Ranges of a source's shuffle order: three hex digits.
@@ -124,15 +124,15 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     key, all_, one, at = (fresh(rows, n) for n in ("_key", "_servings", "_one", position or "_position"))
     placed, servings = _queue(rows, weights, share, epochs, seed, doc, source, text, row)
     plan = servings.join(placed.select("row", "size"), "row").groupBy(F.col("row").alias(key)).agg(F.collect_list(F.struct("words", "position", "size")).alias(all_))
-    both = rows.join(plan, F.col(row) == F.col(key)).withColumn(one, F.explode(all_))
+    both = rows.join(plan, F.col(row) == F.col(key)).select(*cols_of(docs.columns), F.explode(all_).alias(one))
     words, size = F.col(one)["words"].cast("int"), F.col(one)["size"]
     # pieces of one word and the space behind it; the first may be leading space alone
     pieces = F.split(F.col(quoted(text)), rf"(?<={SPACE})(?=[^\x20\x09-\x0D])")
     leads = F.when(F.ascii(F.col(quoted(text))).isin(32, 9, 10, 11, 12, 13), 1).otherwise(0)
     cut = F.array_join(F.slice(pieces, F.lit(1), words + leads), "")
-    both = both.withColumn(text, F.when(words < size, cut).otherwise(F.col(quoted(text)))).withColumn(at, F.col(one)["position"])
+    both = replaced(both.select("*", F.col(one)["position"].alias(at)), **{text: F.when(words < size, cut).otherwise(F.col(quoted(text)))})
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length(F.col(quoted(text))).cast("long"))
+        both = replaced(both, n_chars=F.length(F.col(quoted(text))).cast("long"))
     if not position:
         return both.select(*cols_of(docs.columns))
     return both.repartitionByRange(at).sortWithinPartitions(at).select(*cols_of([*docs.columns, at]))

@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from perkline.llm.common import cols_of, fresh, join_heavy, keyed, lean, slices, small_side, stash
+from perkline.llm.common import cols_of, fresh, join_heavy, keyed, lean, quoted, replaced, slices, small_side, stash
 
 # Kinds in their order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -163,5 +164,8 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", doc: str = "doc_id",
     found = found.select(F.col("doc_id").alias(key), F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(cuts))
     found = small_side(found, F.size(cuts))
     both = rows.join(found, F.col(row) == F.col(key), "left").select(*cols_of([*docs.columns, cuts]))
-    out = both.mapInArrow(lean(_redact(docs.columns.index(text), mark)), docs.schema)
-    return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
+    # plain names on the way through Python
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kinds = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+    out = both.toDF(*names, "cuts").mapInArrow(lean(_redact(docs.columns.index(text), mark)), kinds).toDF(*docs.columns)
+    return replaced(out, n_chars=F.length(F.col(quoted(text))).cast("long")) if "n_chars" in docs.columns else out

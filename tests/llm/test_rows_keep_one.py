@@ -19,3 +19,45 @@ def test_language_rejects_rows_and_not_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
     got = corpus_pipeline.language(spark, df, "").collect()
     assert len(got) == 61 and all(r.text.startswith("the") for r in got) and sum(r.doc_id == 5 for r in got) == 1
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir, tmp_path):
+    rows = [(i, f"the number {i} of some words that differ in each of these rows", "en", "ab"[i % 2], None, 1, "q", 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` string, _metadata int")
+    df.write.parquet(str(tmp_path / "t"))  # rows of files are numbered by place
+    for frame in (df, spark.read.parquet(str(tmp_path / "t"))):
+        now = frame
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, sf_dir)
+            assert now.columns == df.columns, name
+        assert now.count() > 0 and {r["a.b"] for r in now.collect()} == {1}
+
+
+def test_rows_of_files_have_one_number_in_every_scan(spark, tmp_path):
+    from perkline.llm.common import keyed
+
+    spark.range(0, 5000, 1, 7).write.parquet(str(tmp_path / "t"))
+    rows, row = keyed(spark.read.parquet(str(tmp_path / "t")))
+    first = {r.id: r[row] for r in rows.collect()}
+    assert len(set(first.values())) == 5000 and {r.id: r[row] for r in rows.where("id % 3 = 0").repartition(2).collect()} == {i: n for i, n in first.items() if i % 3 == 0}
+    twice, row = keyed(rows.select("id").union(rows.select("id")))
+    assert twice.select(row).distinct().count() == 10000
+
+
+def test_stashed_tables_go_when_nothing_reads_them(spark):
+    import gc
+    import time
+
+    from perkline.llm import common
+
+    kept, lost = common.stash(spark.range(10)), common.stash(spark.range(20))
+    derived, path = kept.where("id > 3"), lost._scratch
+    del kept, lost
+    for _ in range(20):
+        common.free_shuffles(spark)
+        gc.collect()
+        common.sweep()
+        if path not in {x[1] for x in common._TABLES}:
+            break
+        time.sleep(0.3)
+    assert path not in {x[1] for x in common._TABLES} and derived.count() == 6
