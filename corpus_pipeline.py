@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkline.llm.common import cols_of, fresh, keyed, ship, small_side, stash
+from perkline.llm.common import cols_of, fresh, keyed, replaced, ship, small_side, stash
 from perkline.llm.language_id import document_fields, fit_text_model, identify
 from perkline.llm.mixing import mixed_documents
 from perkline.llm.ngram_join import keep_one
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify(document_fields(rows, doc=row), fit_text_model(docs)).where("rejected or declared = ''")
     found = small_side(found.select(F.col("id").alias(key), F.col("rejected").alias(gone), F.col("lang").alias(told)))
     both = rows.join(found, F.col(row) == F.col(key), "left").where(~F.coalesce(F.col(gone), F.lit(False)))
-    return both.withColumn("lang", F.coalesce("lang", told)).select(*cols_of(docs.columns))
+    return replaced(both, lang=F.coalesce("lang", told)).select(*cols_of(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
