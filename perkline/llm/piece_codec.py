@@ -170,7 +170,7 @@ class PieceCodec:
     """Encodes and decodes texts with one model; keeps the ids of about REMEMBERED words, twice; sends BATCH words at a
     time to the backend, on THREADS threads."""
 
-    REMEMBERED, BATCH, JOINED, THREADS = 80_000, 8192, 32, 2
+    REMEMBERED, BATCH, JOINED, THREADS = 160_000, 8192, 32, 2
 
     def __init__(self, data: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
