@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,18 +187,17 @@ class PieceCodec:
             table.append(bytes([self.model.bytes[i]]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode())
         self.table = table
 
-    def words(self, text: str) -> list[str]:
-        """The normalised text cut before each word's marker. Most texts are cut at their single spaces alone; such
-        words come without their marker."""
+    def plain(self, text: str) -> bool:
+        """Whether single spaces alone cut the text into its words; such words come without their marker."""
         m = self.model
-        if not m.by_word:
-            text = m.normalise(text)
+        return m.by_word and not m.charsmap and text != "" and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text
+
+    def words(self, text: str) -> list[str]:
+        """The normalised text cut before each word's marker."""
+        text = self.model.normalise(text)
+        if not self.model.by_word:
             return [text] if text else []
-        if not text:
-            return []
-        if not m.charsmap and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
-            return text.split(" ")
-        return _WORD.findall(m.normalise(text))
+        return _WORD.findall(text)
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words that are not known yet. Words without a marker get theirs and go JOINED to a string: no piece
@@ -224,20 +224,39 @@ class PieceCodec:
             out += [self.of_byte[c] for c in text[x:y].encode("utf-8", "surrogatepass")] if i == self.model.unk else [i]
         return np.array(out, np.int32).tobytes()
 
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        ids = list(map(self.known.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            again = [(words[i], self.before[words[i]]) for i in gaps if words[i] in self.before]
+            self.known.update(again)
+            self._learn([words[i] for i in gaps if words[i] not in self.before])
+            for i in gaps:
+                ids[i] = self.known[words[i]]
+        return ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.words(t) for t in texts]
         if not self.model.by_word:  # whole texts are not remembered
             self.known, self.before = {}, {}
         if len(self.known) > self.REMEMBERED:  # words of the last generation that are met again move up
             self.known, self.before = {}, self.known
-        new: set[str] = set()
-        for words in cut:
-            new.update(set(words).difference(self.known))
-        again = new & self.before.keys()
-        self.known.update((w, self.before[w]) for w in again)
-        self._learn(list(new - again))
-        find = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(find, words)), np.int32) for words in cut]
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
+        simple = [i for i, t in enumerate(texts) if self.plain(t)]
+        if simple:  # cut and made distinct by Arrow: a word becomes a Python string once a call
+            cut = pc.split_pattern(pa.array([texts[i] for i in simple], pa.large_string()), " ")
+            cut = pa.concat_arrays(cut.chunks) if isinstance(cut, pa.ChunkedArray) else cut
+            words, ends = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+            find = self._ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist()).__getitem__
+            at = words.indices.to_numpy()
+            for i, x, y in zip(simple, ends, ends[1:], strict=False):
+                out[i] = np.frombuffer(b"".join(map(find, at[x:y].tolist())), np.int32)
+        other = {i: self.words(t) for i, t in enumerate(texts) if t and not self.plain(t)}
+        distinct = list({w for words in other.values() for w in words})
+        ids = dict(zip(distinct, self._ids_of(distinct), strict=True))
+        for i, words in other.items():
+            out[i] = np.frombuffer(b"".join([ids[w] for w in words]), np.int32)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -272,14 +291,14 @@ def _coded(data, verify_every: int, keep: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data.value)
-        for b in slices(batches, text=1, rows=128):
+        for b in slices(batches, text=1, rows=512):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             coded = c.encode(texts)
             back = [c.decode(x) for x in coded]
             check = [j for j, i in enumerate(ids) if zlib.crc32(str(i).encode()) % verify_every == 0]
             parity: list[bool | None] = [None] * len(ids)
             for j, other in zip(check, _judge(data.value).encode([texts[j] for j in check], num_threads=1), strict=True):
-                parity[j] = bool(np.array_equal(coded[j], np.array(other, np.int32)))
+                parity[j] = coded[j].tolist() == other
             cols = [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x) for x in coded], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in coded])]
             cols += [pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]), pa.array([x == y for x, y in zip(back, texts, strict=True)]), pa.array(parity, pa.bool_())]
             names = ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip", "parity"]
