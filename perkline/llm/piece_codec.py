@@ -286,19 +286,25 @@ def read_model(spark: SparkSession, path: str = DEFAULT_MODEL) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
+#: Texts whose ids the sentencepiece library gives at a time, as Python lists.
+JUDGED = 32
+
+
 def _coded(data, verify_every: int, keep: bool):
     """data: a broadcast of the model's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(data.value)
-        for b in slices(batches, text=1, rows=512):
+        for b in slices(batches, text=1, rows=256):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             coded = c.encode(texts)
             back = [c.decode(x) for x in coded]
             check = [j for j, i in enumerate(ids) if zlib.crc32(str(i).encode()) % verify_every == 0]
             parity: list[bool | None] = [None] * len(ids)
-            for j, other in zip(check, _judge(data.value).encode([texts[j] for j in check], num_threads=1), strict=True):
-                parity[j] = coded[j].tolist() == other
+            for at in range(0, len(check), JUDGED):
+                some = check[at : at + JUDGED]
+                for j, other in zip(some, _judge(data.value).encode([texts[j] for j in some], num_threads=1), strict=True):
+                    parity[j] = coded[j].tolist() == other
             cols = [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(x) for x in coded], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in coded])]
             cols += [pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]), pa.array([x == y for x, y in zip(back, texts, strict=True)]), pa.array(parity, pa.bool_())]
             names = ["doc_id", "n_chars", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip", "parity"]
