@@ -63,3 +63,22 @@ def test_character_map_of_the_library():
     table = read_charsmap(charsmap("nmt_nfkc"))
     assert table["ﬁ"] == "fi" and table["Ａ"] == "A" and table["㎞"] == "km" and table["\t"] == " " and table["ｶﾞ"] == "ガ" and len(table) > 4000
     assert read_charsmap(b"") == {} and np.array([len(k) for k in table]).max() > 1
+
+
+def test_words_remembered_and_forgotten():
+    """Texts of both kinds in one call, words of the generation before met again, and the turn of generations."""
+    data = model(BPE, True, None, False)
+    mine, theirs = PieceCodec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    mine.REMEMBERED = 40
+    rng = np.random.default_rng(5)
+    turns = 0
+    for call in range(30):
+        texts = [" ".join("".join(rng.choice(list("abcdefgh\n"), rng.integers(1, 3))) for _ in range(rng.integers(1, 9))) for _ in range(12)]
+        texts += ["", " ", "abc", "abc ", " abc de", "abc  de", "a" + MARK + "b", texts[0], texts[0] + " " + texts[1]]
+        before = mine.before
+        for text, ids in zip(texts, mine.encode(texts), strict=True):
+            assert ids.tolist() == theirs.encode(text), text
+        turns += mine.before is not before
+    assert turns > 1
+    assert [x.tolist() for x in mine.encode([])] == []
+    assert [x.tolist() for x in mine.encode(["", ""])] == [[], []]
