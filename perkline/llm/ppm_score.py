@@ -42,8 +42,9 @@ FOLDS, HELD = 7, 2
 PAD, END = b"\xff" * ORDER, b"\xff"
 #: The end of a text as a word: no word holds a space.
 END_WORD = b" end"
-#: Distinct codes that a task gathers before it reduces them.
-GATHER = 8_000_000
+#: Codes that a task gathers before it reduces them; counts of more than FULL distinct ones are passed on, in parts that
+#: Spark adds up, so a task's memory does not grow with its rows.
+GATHER, FULL = 3_000_000, 2_000_000
 #: Bytes of text in a block, and in a slice of it; training events for which there is a bucket.
 BLOCK, PIECE, BUCKET_EVENTS = 24 << 20, 1 << 20, 8_000_000
 
@@ -70,6 +71,30 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _union(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct codes of all parts, sorted."""
+    codes = np.concatenate(parts)
+    codes.sort()
+    return codes[_starts(codes)]
+
+
+class _Union:
+    """Distinct codes, gathered as arrays and reduced now and then."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.parts.append(codes)
+        self.size += len(codes)
+        if self.size > GATHER and len(self.parts) > 1:
+            whole = self.reduced()
+            self.parts, self.size = [whole], min(len(whole), GATHER // 2)
+
+    def reduced(self) -> np.ndarray:
+        return _union(self.parts)
+
+
 class _Tally:
     """Counts of 64-bit codes, gathered as arrays and reduced now and then."""
 
@@ -84,16 +109,26 @@ class _Tally:
         self.counts.append(n)
         self.size += len(c)
         if self.size > GATHER:
-            c, n = self.reduced()
-            self.codes, self.counts, self.size = [c], [n], len(c) // 2
-
-    def reduced(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.codes:
+            c, n = self.taken()
+            self.codes, self.counts, self.size = [c], [n], len(c)
+
+    @property
+    def full(self) -> bool:
+        return self.size > FULL and len(self.codes) == 1
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes, sorted, and their counts; the tally is empty then."""
+        codes, counts = self.codes, self.counts
+        self.__init__()
+        if not codes:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        codes, counts = np.concatenate(self.codes), np.concatenate(self.counts)
+        codes = np.concatenate(codes)
         order = np.argsort(codes)
-        starts = _starts(codes := codes[order])
-        return codes[starts], np.add.reduceat(counts[order], starts)
+        codes = codes[order]
+        counts = np.concatenate(counts)[order]
+        del order
+        starts = _starts(codes)
+        return codes[starts], np.add.reduceat(counts, starts)
 
 
 #: Bits for the number of a text in a slice, below its event's code in one 64-bit number.
@@ -113,17 +148,24 @@ def _tagged(texts: list[bytes]) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, words, grams = WordHashes(), _Tally(), _Tally()
     end = hashes[END_WORD]
+
+    def rows(kind: int, tally: _Tally) -> Iterator[pa.RecordBatch]:
+        codes, counts = tally.taken()
+        for i in range(0, len(codes), 1 << 17):
+            part = codes[i : i + (1 << 17)].astype(np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(counts[i : i + (1 << 17)])], ["kind", "code", "n"])
+
     for b in slices(batches, text=1, size=PIECE):
         texts = [t or "" for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(i)]
         if not texts:
             continue
         words.add(np.concatenate([*(hashes.of(ascii_words(t)) for t in texts), np.full(len(texts), end, np.uint64)]))
         grams.add(_codes(_bytes_of(texts)), True)
-    for kind, tally in ((0, words), (1, grams)):
-        codes, counts = tally.reduced()
-        for i in range(0, len(codes), 1 << 17):
-            part = codes[i : i + (1 << 17)].astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), pa.array(counts[i : i + (1 << 17)])], ["kind", "code", "n"])
+        for kind, tally in ((0, words), (1, grams)):
+            if tally.full:
+                yield from rows(kind, tally)
+    yield from rows(0, words)
+    yield from rows(1, grams)
 
 
 def context_table(levels: list[np.ndarray]) -> np.ndarray:
@@ -233,10 +275,9 @@ def _bytes_of(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _asked(parts: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _asked(events: _Union, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct events, the order in which they are asked for, their buckets in this order)."""
-    codes = np.sort(np.concatenate(parts))
-    codes = codes[_starts(codes)]
+    codes = events.reduced()
     where = _buckets(codes, buckets)
     order = np.argsort(where, kind="stable")
     return codes, order, where[order]
@@ -265,18 +306,18 @@ def _ask(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = pa.ipc.IpcWriteOptions(compression="zstd")
-        block, size, held = TaskContext.get().partitionId() << 32, 0, []
+        block, size, held = TaskContext.get().partitionId() << 32, 0, _Union()
         for b in slices(batches, text=1, size=PIECE):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema, options=how) as w:
                 w.write_batch(b)
             yield rows(block, [-1], [sink.getvalue().to_pybytes()])
-            held.append(_distinct(b))
+            held.add(_distinct(b))
             size += (pc.sum(pc.binary_length(b.column(1))).as_py() or 0) + b.num_rows
             if size > BLOCK:
                 yield flush(block, held)
-                block, size, held = block + 1, 0, []
-        if held:
+                block, size, held = block + 1, 0, _Union()
+        if held.parts:
             yield flush(block, held)
 
     return run
@@ -324,7 +365,11 @@ def _score(data, buckets: int):
         known, counts = data.value
         logs, numbers = np.log10(counts + 1.0), _WordNumbers()
         read = lambda: (pa.ipc.open_stream(x).read_next_batch() for x in packed.column("data").to_pylist())
-        events, order, _ = _asked([_distinct(b) for b in read()], buckets)
+        asked = _Union()
+        for b in read():
+            asked.add(_distinct(b))
+        events, order, _ = _asked(asked, buckets)
+        del asked
         told = answers.sort_by("bucket").column("logs").to_pylist()
         likely = np.empty(len(events), np.float32)
         likely[order] = np.frombuffer(b"".join(told), np.float32)
